@@ -30,9 +30,8 @@ def place_tier(population: Column) -> Column:
 def population_badge(population: Column) -> Column:
     """Size text shown on a result card; limits inclusive, empty when unknown or not positive."""
     people = F.concat(F.lit(" ("), grouped_digits(population), F.lit(" people)"))
-    millions = F.concat(
-        F.lit(" ("), F.format_string("%.1f", population.cast("double") / MILLION), F.lit("M people)")
-    )
+    # format_number rounds the binary value to even, format_string its decimal digits upwards.
+    millions = F.concat(F.lit(" ("), F.format_number(population.cast("double") / MILLION, 1), F.lit("M people)"))
     return (
         F.when(population.isNull() | (population <= 0), "")
         .when(population >= MILLION, F.concat(F.lit("🏙️ Major city"), millions))

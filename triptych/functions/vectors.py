@@ -31,12 +31,15 @@ def unit(vector: Column) -> Column:
 
 
 def weighted_mean(parts: Column, total_weight: Column) -> Column:
-    """Mean of `array<struct<weight, vector>>`, element by element and without exploding."""
+    """Mean of `array<struct<weight, vector>>`, element by element and without exploding.
+
+    Elements are missing where the weights add up to zero.
+    """
     zeros = F.transform(F.get(parts, F.lit(0))["vector"], lambda x: F.lit(0.0))
     return F.aggregate(
         parts,
         zeros,
         lambda acc, part: F.zip_with(
-            acc, part["vector"], lambda a, x: a + x.cast("double") * part["weight"] / total_weight
+            acc, part["vector"], lambda a, x: a + F.try_divide(x.cast("double") * part["weight"], total_weight)
         ),
     )

@@ -178,7 +178,7 @@ def result_cards(results: DataFrame, summaries: DataFrame | None = None) -> Data
         "request_id",
         F.col("rank").cast("int").alias("rank"),
         F.concat(heading, F.lit(", "), country).alias("heading"),
-        F.concat(F.lit("Match: "), F.format_string("%.4f", "score")).alias("match"),
+        F.concat(F.lit("Match: "), F.format_number("score", 4)).alias("match"),
         population_badge(F.col("population")).alias("population_text"),
         excerpt(F.col("_summary")).alias("excerpt"),
         placeholder_image(name).alias("image"),
