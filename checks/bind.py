@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from triptych.operators.lookup import title_lookup
 from triptych.operators.sampling import Stratum
@@ -15,8 +16,15 @@ from triptych.sources.feedback_log import feedback_record, media_struct
 from triptych.sources.vectors import search_table
 
 
+SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table; its schema is looked up in the file once per process."""
+    path = f"{folder}/{name}.parquet"
+    if (folder, name) not in SCHEMAS:
+        SCHEMAS[folder, name] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[folder, name]).parquet(path)
 
 
 # --- items with ratings and votes ---------------------------------------------------------------

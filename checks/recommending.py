@@ -149,14 +149,21 @@ BATCH = f"""WITH {bind.VECTORS}, {bind.TARGETS},
 
 @query("recommend_batch", BATCH)
 def recommend_batch(spark, folder):
-    return recommend.recommend_all(bind.vectors(spark, folder), bind.target_vectors(spark, folder))
+    spread = bind.vectors(spark, folder).repartition("item_id")
+    return recommend.recommend_all(spread, bind.target_vectors(spark, folder))
+
+
+@query("recommend_to_requests", BATCH)
+def recommend_to_requests(spark, folder):
+    """The same as when the targets are too many to broadcast, but the requests are not."""
+    return recommend.recommend_all(bind.vectors(spark, folder), bind.target_vectors(spark, folder), target_floats=0)
 
 
 @query("recommend_blocks", BATCH)
 def recommend_blocks(spark, folder):
     """The same as when neither side may be broadcast: block against block."""
     return recommend.recommend_all(
-        bind.vectors(spark, folder), bind.target_vectors(spark, folder), broadcast_floats=0, block_rows=4096
+        bind.vectors(spark, folder), bind.target_vectors(spark, folder), target_floats=0, request_floats=0, block_rows=4096
     )
 
 
@@ -178,7 +185,10 @@ def fuse_vectors(spark, folder):
 def recommend_fused(spark, folder):
     goal = bind.targets(spark, folder)
     results = recommend.recommend_fused(
-        bind.requests(spark, folder), bind.lookup(spark, folder), bind.vectors(spark, folder), goal
+        bind.requests(spark, folder),
+        bind.lookup(spark, folder),
+        bind.vectors(spark, folder),
+        bind.target_vectors(spark, folder),
     )
     named = recommend.with_metadata(results, goal)
     return named.select("request_id", "rank", "item_id", "score", "name", "country", "population")
@@ -253,7 +263,10 @@ def recommend_single(spark, folder):
 def result_cards(spark, folder):
     goal = bind.targets(spark, folder)
     results = recommend.recommend_fused(
-        bind.requests(spark, folder), bind.lookup(spark, folder), bind.vectors(spark, folder), goal
+        bind.requests(spark, folder),
+        bind.lookup(spark, folder),
+        bind.vectors(spark, folder),
+        bind.target_vectors(spark, folder),
     )
     documents = table(spark, folder, "documents")
     summaries = (

@@ -15,9 +15,10 @@ from triptych.staging import staged
 # Scores are ranked at this precision, so that the order does not hang on the last float digits.
 DIGITS = 6
 TILE_CELLS = 4_000_000
-BROADCAST_FLOATS = 4_000_000
+BROADCAST_FLOATS = 8_000_000
 BLOCK_ROWS = 16_384
 HIT = "request_id bigint, item_id bigint, score double"
+RANKED = HIT + ", rank int"
 
 
 def cosine_topk(
@@ -25,25 +26,32 @@ def cosine_topk(
     targets: DataFrame,
     top_k: int | None = 5,
     dim: int | None = None,
-    broadcast_floats: int = BROADCAST_FLOATS,
+    target_floats: int = BROADCAST_FLOATS,
+    request_floats: int = BROADCAST_FLOATS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best targets of every request: request_id, item_id, score, rank (from 1).
 
     `requests` has request_id, vector and, unless `top_k` is given, its own top_k; `targets` has
     item_id and a unit `embedding`. Both keys are unique. Every pair is scored, as a matrix product
-    inside a task that keeps its best k per request: pairs never become rows. Few requests are
-    broadcast and the targets stay where they are read; many are cut into blocks like the targets.
+    inside a task that keeps its best k per request: pairs never become rows.
+
+    Targets of a checked size are broadcast, and each request is finished where it is, without a
+    shuffle. Else requests of a checked size are broadcast to where the targets are. When both are
+    large, blocks of one meet blocks of the other.
     """
     wanted = F.col("top_k") if top_k is None else F.lit(top_k)
     asked = requests.select("request_id", "vector", wanted.cast("int").alias("top_k"))
-    dim = dim or _dimension(targets)
-    if dim is None:
-        return targets.sparkSession.createDataFrame([], HIT + ", rank int")
     stored = targets.select("item_id", "embedding")
-    small = collect_if_small(asked, max(1, broadcast_floats // dim))
-    if small is not None:
-        hits = _against_broadcast(stored, small, dim)
+    dim = dim or _dimension(stored)
+    if dim is None:
+        return targets.sparkSession.createDataFrame([], RANKED)
+    small_targets = collect_if_small(stored, target_floats // dim)
+    if small_targets is not None:
+        return _requests_in_place(asked, small_targets, dim)
+    small_requests = collect_if_small(asked, request_floats // dim)
+    if small_requests is not None:
+        hits = _targets_in_place(stored, small_requests, dim)
     else:
         asked = staged(asked, "requests")
         hits = block_against_block(asked, stored, "request_id", "item_id", _block_hits, HIT, block_rows)
@@ -60,10 +68,26 @@ def _dimension(targets: DataFrame) -> int | None:
     return None if row is None else row.dim
 
 
-def _against_broadcast(targets: DataFrame, requests: pa.Table, dim: int) -> DataFrame:
-    ids, k = _ids(requests, "request_id"), _ids(requests, "top_k")
-    matrix = _unit_rows(_matrix(requests, "vector", dim))
-    shared = targets.sparkSession.sparkContext.broadcast((ids, k, matrix))
+def _requests_in_place(requests: DataFrame, targets: pa.Table, dim: int) -> DataFrame:
+    shared = requests.sparkSession.sparkContext.broadcast(
+        (_ids(targets, "item_id"), _matrix(targets, "embedding", dim))
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, matrix = shared.value
+        for batch in batches:
+            limits = _ids(batch, "top_k")
+            best = BestRows(len(limits), int(limits.max(initial=0)))
+            best.add(_unit_rows(_matrix(batch, "vector", dim)), items, matrix)
+            yield from best.table(_ids(batch, "request_id"), limits, ranked=True).to_batches()
+
+    return requests.mapInArrow(search, RANKED)
+
+
+def _targets_in_place(targets: DataFrame, requests: pa.Table, dim: int) -> DataFrame:
+    shared = targets.sparkSession.sparkContext.broadcast(
+        (_ids(requests, "request_id"), _ids(requests, "top_k"), _unit_rows(_matrix(requests, "vector", dim)))
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         request_ids, limits, vectors = shared.value
@@ -143,13 +167,14 @@ class BestRows:
         full = self.row[place[kept] == self.k - 1]
         self.worst[full] = self.score[place[kept] == self.k - 1]
 
-    def table(self, request_ids: np.ndarray, limits: np.ndarray) -> pa.Table:
+    def table(self, request_ids: np.ndarray, limits: np.ndarray, ranked: bool = False) -> pa.Table:
         place = np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
         kept = place < limits[self.row]
-        return pa.table(
-            {
-                "request_id": pa.array(request_ids[self.row[kept]], pa.int64()),
-                "item_id": pa.array(self.item[kept], pa.int64()),
-                "score": pa.array(self.score[kept], pa.float64()),
-            }
-        )
+        columns = {
+            "request_id": pa.array(request_ids[self.row[kept]], pa.int64()),
+            "item_id": pa.array(self.item[kept], pa.int64()),
+            "score": pa.array(self.score[kept], pa.float64()),
+        }
+        if ranked:
+            columns["rank"] = pa.array(place[kept] + 1, pa.int32())
+        return pa.table(columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triptych.functions.cleaning import strip
+from triptych.functions.cleaning import strip, title_key
 from triptych.functions.describing import (
     excerpt,
     maps_link,
@@ -17,7 +17,7 @@ from triptych.functions.describing import (
     wiki_link,
 )
 from triptych.operators.fusion import fuse_vectors, media_parts
-from triptych.operators.lookup import MEDIA, as_typed_titles, known_media, resolve_titles
+from triptych.operators.lookup import MEDIA, known_media, resolve_titles
 from triptych.operators.similarity import cosine_topk
 from triptych.staging import staged
 
@@ -51,11 +51,18 @@ def all_filled() -> Column:
 
 
 def resolve_requests(requests: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Requests with the items their three titles name, one shuffle join for all media."""
-    named = resolve_titles(as_typed_titles(requests), lookup)
-    item = lambda m: F.max(F.when(F.col("media_type") == m, F.col("item_id"))).alias(f"{m}_item")
-    wide = named.groupBy("request_id").agg(*[item(m) for m in MEDIA])
-    return requests.join(wide, "request_id")
+    """Requests with the items their three titles name, NULL where there is none.
+
+    One left join per medium against that medium's part of the lookup: broadcast while it is small,
+    else one shuffle of the requests each. The lookup has one row per title, so a title asked for
+    by very many requests is a skewed key of the request side only, which adaptive execution splits.
+    """
+    for m in MEDIA:
+        known = lookup.where(F.col("media_type") == m).select(
+            F.col("title_key").alias("_key"), F.col("item_id").alias(f"{m}_item")
+        )
+        requests = requests.join(known, title_key(F.col(f"{m}_title")) == F.col("_key"), "left").drop("_key")
+    return requests
 
 
 def recommend_resolved(resolved: DataFrame, vectors: DataFrame, targets: DataFrame, dim: int | None = None) -> DataFrame:
