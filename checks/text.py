@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.bind import table
 from checks.registry import query
-from triptych.functions.text import STOP_WORDS, TOKEN, tokens, with_bigrams
+from triptych.functions.text import STOP_WORDS, TOKEN, tokens
 from triptych.operators import tfidf
 from triptych.operators.encode import embed_texts, hashing_encoder
 
@@ -56,7 +56,8 @@ emphasised AS (
 
 
 def documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    """The test file is read by one task; spreading it gives the others something to do."""
+    return table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 @query(
@@ -74,12 +75,13 @@ def tokenise(spark, folder):
     f"""WITH {weights_sql('documents', 'doc_id', 'text')} SELECT doc_id, term, tf FROM counted""",
 )
 def ngrams(spark, folder):
-    return tfidf.term_counts(tfidf.document_terms(documents(spark, folder), "doc_id", "text"), "doc_id")
+    words = documents(spark, folder).select("doc_id", tokens(F.col("text"), STOP_WORDS).alias("w"))
+    return tfidf.term_counts(words, "doc_id")
 
 
 @query("vocabulary", f"WITH {weights_sql('documents', 'doc_id', 'text')} SELECT term, df, total FROM vocabulary")
 def vocabulary(spark, folder):
-    return tfidf.vocabulary(documents(spark, folder), "doc_id", "text")
+    return tfidf.vocabulary(tfidf.tokenised(documents(spark, folder), "doc_id", "text"))
 
 
 @query(
@@ -123,7 +125,6 @@ def tfidf_reweight(spark, folder):
         FROM summed QUALIFY x <> 0""",
 )
 def embed_hash(spark, folder):
-    spread = documents(spark, folder).repartition("doc_id")
-    vectors = embed_texts(spread, "doc_id", "text", hashing_encoder(384))
+    vectors = embed_texts(documents(spark, folder), "doc_id", "text", hashing_encoder(384))
     elements = vectors.select("doc_id", F.posexplode("embedding").alias("pos", "x"))
     return elements.where("x <> 0").withColumn("x", F.round(F.col("x").cast("double"), 5))

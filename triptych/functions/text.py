@@ -31,15 +31,8 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words))
 
 
-def with_bigrams(words: Column) -> Column:
-    """The words followed by every pair of neighbours (neighbours after stop-word removal)."""
-    count = F.size(words)
-    pairs = F.when(
-        count > 1,
-        F.zip_with(
-            F.slice(words, F.lit(1), F.greatest(count - 1, F.lit(0))),
-            F.slice(words, F.lit(2), F.greatest(count - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+def bigrams(words: Column) -> Column:
+    """Pairs of neighbours, in order (neighbours after stop-word removal)."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    # The last word has no right neighbour: its pair is missing.
+    return F.array_compact(pairs)

@@ -1,76 +1,106 @@
-"""TF-IDF keywords, and texts emphasised with their own keywords."""
+"""TF-IDF keywords, and texts emphasised with their own keywords.
+
+Tokenising is the costly part, so the words of every document are written once and then read by
+each step. No step moves texts or all word pairs between machines: counts of words are combined
+before the shuffle, and pairs are counted only where both words are frequent enough.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triptych.functions.text import STOP_WORDS, tokens, with_bigrams
+from triptych.functions.text import STOP_WORDS, bigrams, tokens
+from triptych.staging import staged
 
 # Size of the vocabulary, least document frequency, words appended per text.
 MAX_TERMS = 1000
 MIN_DOCUMENTS = 2
 KEYWORDS = 10
 
+# Frequent words are broadcast up to this many, beyond it they are joined with a shuffle.
+BROADCAST_WORDS = 500_000
 
-def document_terms(
-    docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS, bigrams: bool = True
-) -> DataFrame:
-    """One row per occurrence of a term: words and, by default, pairs of neighbours.
 
-    Documents are spread by key before they are exploded. The texts are much smaller than their
-    terms, and every later step that works per document finds its rows together.
-    """
-    words = docs.select(key, text).repartition(key).select(key, tokens(F.col(text), stop_words).alias("w"))
-    terms = with_bigrams(F.col("w")) if bigrams else F.col("w")
+def tokenised(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """The words `w` of every document, written once."""
+    return staged(docs.select(key, tokens(F.col(text), stop_words).alias("w")), "words")
+
+
+def document_terms(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
+    """One row per occurrence of a term: words and, by default, pairs of neighbours."""
+    terms = F.concat("w", bigrams(F.col("w"))) if pairs else F.col("w")
     return words.select(key, F.explode(terms).alias("term"))
 
 
-def term_counts(terms: DataFrame, key: str) -> DataFrame:
+def term_counts(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
     """Occurrences of each term in each document."""
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return document_terms(words, key, pairs).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _exploded(words: DataFrame, terms: Column) -> DataFrame:
+    """Each occurrence of a term, then each term once per document, told apart by two counters."""
+    every = words.select(F.explode(terms).alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total"))
+    once = words.select(
+        F.explode(F.array_distinct(terms)).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")
+    )
+    return every.unionByName(once)
+
+
+def _summed(exploded: DataFrame, min_documents: int) -> DataFrame:
+    """Document frequency and total of every term, combined before the shuffle."""
+    sums = exploded.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return sums.where(F.col("df") >= min_documents)
+
+
+def _most_frequent(terms: DataFrame, most: int) -> DataFrame:
+    return terms.orderBy(F.desc("total"), "term").limit(most)
 
 
 def vocabulary(
-    docs: DataFrame,
-    key: str,
-    text: str,
-    max_terms: int = MAX_TERMS,
-    min_documents: int = MIN_DOCUMENTS,
-    stop_words: Sequence[str] = STOP_WORDS,
-    bigrams: bool = True,
+    words: DataFrame, max_terms: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS, pairs: bool = True
 ) -> DataFrame:
-    """Most frequent terms among those found in enough documents, with both counts."""
-    counts = term_counts(document_terms(docs, key, text, stop_words, bigrams), key)
-    return (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-        .where(F.col("df") >= min_documents)
-        .orderBy(F.desc("total"), "term")
-        .limit(max_terms)
-    )
+    """Most frequent terms among those found in enough documents, with both counts.
+
+    A pair is at most as frequent as either of its words. So once single words have filled the
+    vocabulary, only pairs of words as frequent as its last entry can enter it; all other pairs are
+    dropped where they are read, which leaves the result as it is.
+    """
+    single = staged(_summed(_exploded(words, F.col("w")), min_documents), "word-counts")
+    if not pairs:
+        return _most_frequent(single, max_terms)
+    last = _most_frequent(single, max_terms).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+    least = last.total if last.n == max_terms else min_documents
+    frequent = single.where(F.col("total") >= least).select("term")
+    if frequent.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        frequent = F.broadcast(frequent)
+    candidates = _exploded(words, bigrams(F.col("w")))
+    for place in (1, -1):
+        word = F.substring_index("term", " ", place)
+        named = frequent.withColumnRenamed("term", "_word")
+        candidates = candidates.join(named, word == F.col("_word"), "left_semi")
+    return _most_frequent(single.unionByName(_summed(candidates, min_documents)), max_terms)
 
 
 def term_weights(
-    docs: DataFrame,
+    words: DataFrame,
     key: str,
-    text: str,
     max_terms: int = MAX_TERMS,
     min_documents: int = MIN_DOCUMENTS,
-    stop_words: Sequence[str] = STOP_WORDS,
-    bigrams: bool = True,
+    pairs: bool = True,
 ) -> DataFrame:
     """tf * (ln((1 + documents) / (1 + df)) + 1) of every vocabulary term of every document.
 
     The vocabulary holds at most `max_terms` rows, so broadcasting it is safe at any size, and it
     drops all other terms before they are counted.
     """
-    words = vocabulary(docs, key, text, max_terms, min_documents, stop_words, bigrams)
-    documents = docs.agg(F.count("*")).scalar()
-    idf = words.select("term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf"))
-    known = document_terms(docs, key, text, stop_words, bigrams).join(F.broadcast(idf), "term")
+    documents = words.agg(F.count("*")).scalar()
+    idf = vocabulary(words, max_terms, min_documents, pairs).select(
+        "term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf")
+    )
+    known = document_terms(words, key, pairs).join(F.broadcast(idf), "term")
     return (
         known.groupBy(key, "term")
         .agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
@@ -79,16 +109,23 @@ def term_weights(
     )
 
 
-def tfidf_scores(docs: DataFrame, key: str, text: str, **settings) -> DataFrame:
+def tfidf_scores(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS, **settings) -> DataFrame:
     """Weights divided by the length of the document's weight vector."""
-    weights = term_weights(docs, key, text, **settings)
+    weights = term_weights(tokenised(docs, key, text, stop_words), key, **settings)
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
     return weights.select(key, "term", "tf", (F.col("weight") / length).alias("score"))
 
 
-def keywords(docs: DataFrame, key: str, text: str, top: int = KEYWORDS, **settings) -> DataFrame:
+def keywords(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    top: int = KEYWORDS,
+    stop_words: Sequence[str] = STOP_WORDS,
+    **settings,
+) -> DataFrame:
     """Highest terms of every document. Dividing by the length would not change their order."""
-    weights = term_weights(docs, key, text, **settings)
+    weights = term_weights(tokenised(docs, key, text, stop_words), key, **settings)
     ranked = Window.partitionBy(key).orderBy(F.round("weight", 6).desc(), "term")
     return weights.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
