@@ -14,7 +14,6 @@ from triptych.operators.sampling import stratified_sample
 from triptych.plans import constants as fixed
 from triptych.plans import preparation, samples
 from triptych.plans.enrich import enrich_descriptions
-from triptych.staging import staged
 
 COUNT_DOCUMENTS = "(SELECT count(*) FROM documents)"
 
@@ -26,7 +25,7 @@ def raw_movies(spark, folder):
     k = F.col("item_id")
     place = F.pmod(k, F.lit(documents.count()))
     films = bind.items(spark, folder).join(documents, place == F.col("doc_id"))
-    made = films.select(
+    return films.select(
         k.alias("row_id"),
         F.concat("title", F.lit(" "), k.cast("string")).alias("title"),
         F.concat("title", F.lit(" "), F.floor(k / 3).cast("string")).alias("original_title"),
@@ -39,7 +38,6 @@ def raw_movies(spark, folder):
         F.when(k % 13 == 0, "n/a").otherwise((F.col("votes") * 400).cast("string")).alias("vote_count"),
         F.col("price").alias("popularity"),
     )
-    return staged(made, "raw-movies")
 
 
 RAW_MOVIES = (
@@ -58,7 +56,7 @@ raw AS (
 def raw_books(spark, folder):
     """Items as books: some without original title, authors, or with a year that is no number."""
     k = F.col("item_id")
-    made = bind.items(spark, folder).select(
+    return bind.items(spark, folder).select(
         k.alias("row_id"),
         k.alias("id"),
         F.concat("title", F.lit(" "), k.cast("string")).alias("title"),
@@ -68,7 +66,6 @@ def raw_books(spark, folder):
         (F.col("rating") / 6.2).alias("average_rating"),
         (F.col("votes") * 400).alias("ratings_count"),
     )
-    return staged(made, "raw-books")
 
 
 RAW_BOOKS = (
@@ -104,7 +101,7 @@ def raw_tags(spark, folder):
 def raw_music(spark, folder):
     """Items as tracks: repeated ids, popularity missing or no number, some explicit."""
     k = F.col("item_id")
-    made = bind.items(spark, folder).select(
+    return bind.items(spark, folder).select(
         k.alias("row_id"),
         F.concat(F.lit("t"), F.pmod(k, F.lit(1700)).cast("string")).alias("track_id"),
         F.when(k % 29 == 0, "").otherwise(F.concat("title", F.lit(" "), k.cast("string"))).alias("track_name"),
@@ -117,7 +114,6 @@ def raw_music(spark, folder):
         ((k % 13) / 12).alias("valence"),
         F.when(k % 3 == 0, "True").when(k % 3 == 1, "no").alias("explicit"),
     )
-    return staged(made, "raw-music")
 
 
 RAW_MUSIC = (

@@ -121,7 +121,7 @@ def twice_capped_sample(
 ) -> DataFrame:
     """Going down the ranking, pick rows while neither of their two groups is full.
 
-    `first` and `second` are (column, cap); blank groups have no cap. A row counts against a cap
+    `first` and `second` are (column, cap); blank groups and absent columns have no cap. A row counts against a cap
     only when picked, so ranks within the groups are not enough. Two facts keep the work small and
     exact. Within one pair of groups the picked rows are the first ones, at most the smaller cap,
     which prunes every pair before the shuffle. And a row passed over belongs to a full group, of
@@ -131,7 +131,7 @@ def twice_capped_sample(
     (a, cap_a), (b, cap_b) = first, second
     spark = df.sparkSession
     order = descending(scores, key)
-    narrow = df.select(key, *scores, filled_text(a).alias("_a"), filled_text(b).alias("_b"))
+    narrow = df.select(key, *scores, filled_text(df, a).alias("_a"), filled_text(df, b).alias("_b"))
     has_a, has_b = F.col("_a") != "", F.col("_b") != ""
     pair_cap = F.when(has_a & has_b, min(cap_a, cap_b)).when(has_a, cap_a).otherwise(cap_b)
     pairs = top_per_group(
@@ -174,8 +174,10 @@ def twice_capped_sample(
     return result
 
 
-def filled_text(column: str) -> Column:
-    """Stripped text of a column, missing as the empty text."""
+def filled_text(df: DataFrame, column: str) -> Column:
+    """Stripped text of a column, the empty text where it is missing or the column is absent."""
+    if column not in df.columns:
+        return F.lit("")
     return F.coalesce(strip(F.col(column).cast("string")), F.lit(""))
 
 

@@ -42,11 +42,12 @@ def term_counts(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
 
 def _exploded(words: DataFrame, terms: Column) -> DataFrame:
     """Each occurrence of a term, then each term once per document, told apart by two counters."""
-    every = words.select(F.explode(terms).alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total"))
-    once = words.select(
-        F.explode(F.array_distinct(terms)).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("total")
+    found = words.select(terms.alias("t"))
+    both = found.select(
+        F.size("t").alias("n"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("at", "term")
     )
-    return every.unionByName(once)
+    once = F.col("at") >= F.col("n")
+    return both.select("term", once.cast("int").alias("df"), (~once).cast("int").alias("total"))
 
 
 def _summed(exploded: DataFrame, min_documents: int) -> DataFrame:
