@@ -42,6 +42,5 @@ def block_against_block(
 
 
 def collect_if_small(df: DataFrame, most: int) -> pa.Table | None:
-    """The table when it has at most `most` rows, else None; never fetches more than `most` + 1."""
-    table = df.limit(most + 1).toArrow()
-    return table if table.num_rows <= most else None
+    """The table when it has at most `most` rows, else None. Counted first: pass a stored table."""
+    return df.toArrow() if df.count() <= most else None

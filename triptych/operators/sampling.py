@@ -59,7 +59,7 @@ def stratified_sample(
 
 def leftover(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """Rows whose key was not chosen."""
-    return df.join(chosen.select(key).distinct(), key, "left_anti").select(*df.columns)
+    return df.join(chosen.select(key), key, "left_anti").select(*df.columns)
 
 
 def seeded_order(key: str, seed: str = SEED) -> list[Column]:

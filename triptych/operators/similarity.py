@@ -14,7 +14,10 @@ from triptych.staging import staged
 
 # Scores are ranked at this precision, so that the order does not hang on the last float digits.
 DIGITS = 6
+MARGIN = 2 * 10.0**-DIGITS
+# Scores held at once by a task, and the targets among them.
 TILE_CELLS = 4_000_000
+TILE_TARGETS = 4096
 BROADCAST_FLOATS = 8_000_000
 BLOCK_ROWS = 16_384
 HIT = "request_id bigint, item_id bigint, score double"
@@ -49,11 +52,11 @@ def cosine_topk(
     small_targets = collect_if_small(stored, target_floats // dim)
     if small_targets is not None:
         return _requests_in_place(asked, small_targets, dim)
+    asked = staged(asked, "requests")
     small_requests = collect_if_small(asked, request_floats // dim)
     if small_requests is not None:
         hits = _targets_in_place(stored, small_requests, dim)
     else:
-        asked = staged(asked, "requests")
         hits = block_against_block(asked, stored, "request_id", "item_id", _block_hits, HIT, block_rows)
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "item_id")
     ranked = hits.withColumn("rank", F.row_number().over(best))
@@ -131,50 +134,72 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def _below_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """A bound for each row that its k best scores reach.
+
+    The k-th best of the maxima of groups is the score of at least k columns that reach it, and
+    much cheaper to find than the k-th best score.
+    """
+    groups = 16 * k
+    if scores.shape[1] > 2 * groups:
+        scores = np.maximum.reduceat(scores, np.arange(groups) * scores.shape[1] // groups, axis=1)
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
 class BestRows:
-    """The best k targets seen so far by each request of a block."""
+    """The best k targets seen so far by each request of a block, best first."""
 
     def __init__(self, requests: int, k: int):
-        self.requests, self.k = requests, k
-        self.row = np.empty(0, dtype=np.int64)
-        self.item = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0, dtype=np.float64)
-        self.worst = np.full(requests, -np.inf)
+        self.score = np.full((requests, k), -np.inf)
+        self.item = np.zeros((requests, k), dtype=np.int64)
 
     def add(self, vectors: np.ndarray, items: np.ndarray, targets: np.ndarray) -> None:
-        if not self.requests or not self.k:
+        """Score all requests against more targets, one tile of bounded size at a time."""
+        requests, k = self.score.shape
+        if not k:
+            return
+        for t in range(0, len(items), TILE_TARGETS):
+            tile, ids = targets[t : t + TILE_TARGETS].T, items[t : t + TILE_TARGETS]
+            rows = TILE_CELLS // len(ids)
+            for r in range(0, requests, rows):
+                self._merge(r, ids, vectors[r : r + rows] @ tile)
+
+    def _merge(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take over the scores of some requests that are among their best k.
+
+        Candidates are picked on unrounded scores with a margin; only they are rounded and sorted.
+        """
+        k = self.score.shape[1]
+        known = slice(first, first + len(scores))
+        floor = self.score[known, -1]
+        candidate = scores >= (floor - MARGIN)[:, None]
+        if scores.shape[1] > k and np.count_nonzero(candidate) > 4 * k * len(scores):
+            candidate &= scores >= (_below_best(scores, k) - MARGIN)[:, None]
+        row, column = np.nonzero(candidate)
+        if not len(row):
             return
-        step = max(self.k, TILE_CELLS // self.requests)
-        for start in range(0, len(items), step):
-            tile = slice(start, start + step)
-            # Adding zero turns -0.0 into 0.0.
-            self._merge(items[tile], np.round(vectors @ targets[tile].T, DIGITS) + 0.0)
-
-    def _merge(self, items: np.ndarray, scores: np.ndarray) -> None:
-        floor = self.worst
-        if scores.shape[1] > self.k:
-            kth = scores.shape[1] - self.k
-            floor = np.maximum(floor, np.partition(scores, kth, axis=1)[:, kth])
-        rows, columns = np.nonzero(scores >= floor[:, None])
-        row = np.concatenate([self.row, rows])
-        item = np.concatenate([self.item, items[columns]])
-        score = np.concatenate([self.score, scores[rows, columns]])
-        order = np.lexsort((item, -score, row))
-        row, item, score = row[order], item[order], score[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < self.k
-        self.row, self.item, self.score = row[kept], item[kept], score[kept]
-        full = self.row[place[kept] == self.k - 1]
-        self.worst[full] = self.score[place[kept] == self.k - 1]
+        old_row, old_place = np.nonzero(self.score[known] > -np.inf)
+        all_rows = np.concatenate([old_row, row])
+        all_items = np.concatenate([self.item[known][old_row, old_place], ids[column]])
+        # Adding zero turns -0.0 into 0.0.
+        fresh = np.round(scores[row, column], DIGITS) + 0.0
+        all_scores = np.concatenate([self.score[known][old_row, old_place], fresh])
+        order = np.lexsort((all_items, -all_scores, all_rows))
+        all_rows = all_rows[order]
+        place = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
+        kept = place < k
+        at = (all_rows[kept] + first, place[kept])
+        self.score[at] = all_scores[order][kept]
+        self.item[at] = all_items[order][kept]
 
     def table(self, request_ids: np.ndarray, limits: np.ndarray, ranked: bool = False) -> pa.Table:
-        place = np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
-        kept = place < limits[self.row]
+        wanted = np.arange(self.score.shape[1]) < limits[:, None]
+        row, place = np.nonzero(wanted & (self.score > -np.inf))
         columns = {
-            "request_id": pa.array(request_ids[self.row[kept]], pa.int64()),
-            "item_id": pa.array(self.item[kept], pa.int64()),
-            "score": pa.array(self.score[kept], pa.float64()),
+            "request_id": pa.array(request_ids[row], pa.int64()),
+            "item_id": pa.array(self.item[row, place], pa.int64()),
+            "score": pa.array(self.score[row, place], pa.float64()),
         }
         if ranked:
-            columns["rank"] = pa.array(place[kept] + 1, pa.int32())
+            columns["rank"] = pa.array(place + 1, pa.int32())
         return pa.table(columns)

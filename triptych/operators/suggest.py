@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triptych.functions.cleaning import title_key
 from triptych.operators.grid import block_against_block, collect_if_small
 from triptych.operators.lookup import MEDIA
-from triptych.functions.cleaning import title_key
 from triptych.operators.ranking import top_per_group
+from triptych.staging import staged
 
 FOUND = "query_id bigint, title string, row_id bigint"
 BROADCAST_QUERIES = 100_000
@@ -60,7 +61,8 @@ def suggest_titles(
     asked = requests.select("request_id", "media_type", title_key(F.col("query")).alias("query")).where(
         (F.length("query") > 0) & F.col("media_type").isin(*MEDIA)
     )
-    queries = asked.groupBy("media_type", "query").agg(F.min("request_id").alias("query_id"))
+    distinct = asked.groupBy("media_type", "query").agg(F.min("request_id").alias("query_id"))
+    queries = staged(distinct, "queries")
     shown = items.where(F.col(columns[0]).isNotNull())
     texts = [F.lower(F.col(c)).alias(f"text{i}") for i, c in enumerate(columns)]
     stock = (
@@ -86,8 +88,8 @@ def suggest_titles(
             FOUND,
             block_rows,
         )
-    distinct = found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id"))
-    best = top_per_group(distinct, ["query_id"], [F.col("row_id"), F.col("title")], most, "row_id", rank="rank")
+    seen = found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id"))
+    best = top_per_group(seen, ["query_id"], [F.col("row_id"), F.col("title")], most, "row_id", rank="rank")
     named = best.join(queries, "query_id").select("media_type", "query", "rank", "title")
     return asked.join(named, ["media_type", "query"]).select("request_id", "rank", "title")
 

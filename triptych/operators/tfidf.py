@@ -75,7 +75,7 @@ def vocabulary(
     last = _most_frequent(single, max_terms).agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
     least = last.total if last.n == max_terms else min_documents
     frequent = single.where(F.col("total") >= least).select("term")
-    if frequent.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+    if frequent.count() <= BROADCAST_WORDS:
         frequent = F.broadcast(frequent)
     candidates = _exploded(words, bigrams(F.col("w")))
     for place in (1, -1):
