@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from triptych.functions.cleaning import first_filled, strip, title_case
 from triptych.functions.describing import describe_audio, describe_place, text_representation
-from triptych.operators.counting import value_counts
+from triptych.operators.counting import union_tables, value_counts
 from triptych.operators.ranking import dedupe_best, dedupe_first
 from triptych.operators.rating import with_weighted_rating
 from triptych.operators.sampling import Stratum, filled_sample
@@ -182,11 +182,9 @@ def prepare_places(
 
 def strata_summary(processed: Mapping[str, DataFrame]) -> DataFrame:
     """Rows per stratum of every processed table."""
-    parts = [
-        value_counts(df, "_stratum").select(F.lit(kind).alias("kind"), F.col("_stratum").alias("stratum"), "n")
-        for kind, df in processed.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_tables(
+        [
+            value_counts(df, "_stratum").select(F.lit(kind).alias("kind"), F.col("_stratum").alias("stratum"), "n")
+            for kind, df in processed.items()
+        ]
+    )

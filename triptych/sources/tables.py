@@ -16,7 +16,7 @@ class MissingSource(FileNotFoundError):
     """A required input does not exist."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop_path)
@@ -57,7 +57,7 @@ def load_table(
     **options,
 ) -> DataFrame:
     """Table at `path`; when it does not exist, an error or an empty table of the same schema."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         if required:
             raise MissingSource(path)
         return spark.createDataFrame([], schema)
@@ -69,7 +69,7 @@ def load_table(
 def load_first(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType) -> DataFrame:
     """The first of several places that exists, in order of preference."""
     for path in paths:
-        if _exists(spark, path):
+        if exists(spark, path):
             return load_table(spark, path, schema)
     raise MissingSource(", ".join(paths))
 

@@ -26,13 +26,19 @@ def daily_report(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
     The state is one row per day and answer; the watermark lets days be closed and dropped. The
     sum and number of stars are kept, so that days can be added up over the answers.
     """
-    timed = records.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    # Log times carry no zone. Read as UTC, the days of windows and of the log are the same.
+    timed = records.withColumn("ts", F.concat("timestamp", F.lit("Z")).try_cast("timestamp"))
     return (
         timed.where(F.col("ts").isNotNull())
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day").alias("w"), F.col("feedback.satisfaction").alias("satisfaction"))
         .agg(F.count("*").alias("n"), F.sum("feedback.stars").alias("stars"))
-        .select(F.to_date("w.start").alias("day"), "satisfaction", "n", "stars")
+        .select(
+            F.date_from_unix_date((F.unix_seconds("w.start") / 86400).cast("int")).alias("day"),
+            "satisfaction",
+            "n",
+            "stars",
+        )
     )
 
 
