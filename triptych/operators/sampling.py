@@ -84,14 +84,14 @@ def filled_sample(
     """Stratified sample, filled up to `total` with random leftover rows when strata fall short.
 
     The sample (at most the sum of the quotas) is written once; its size decides whether the table
-    has to be read again for the fill.
+    has to be read again for the fill. Returns a written table.
     """
     chosen = staged(stratified_sample(df, total, strata, sort, key, allow_overlap, label), "strata")
     missing = total - chosen.count()
     if missing <= 0:
         return chosen
     extra = seeded_sample(leftover(df, chosen, key), missing, key)
-    return chosen.unionByName(extra.withColumn(label, F.lit(EXTRA)))
+    return staged(chosen.unionByName(extra.withColumn(label, F.lit(EXTRA))), "filled")
 
 
 def capped_sample(

@@ -34,15 +34,13 @@ from triptych.staging import staged
 def finish(
     sampled: DataFrame, text: str, wanted: Sequence[str], use_tfidf: bool = True, **settings
 ) -> DataFrame:
-    """Emphasise the texts of a sample and keep the processed columns.
+    """Emphasise the texts of a written sample and keep the processed columns.
 
     An item drawn by two strata counts as two texts, so copies get a key of their own.
     """
     if not use_tfidf:
         return keep_columns(sampled.withColumn("text_representation", F.col(text)), wanted)
-    keyed = staged(
-        sampled.withColumn("_copy", F.concat_ws("\n", F.col("row_id").cast("string"), "_stratum")), "sample"
-    )
+    keyed = sampled.withColumn("_copy", F.concat_ws("\n", F.col("row_id").cast("string"), "_stratum"))
     return keep_columns(emphasised(keyed, "_copy", text, **settings), wanted)
 
 
