@@ -14,6 +14,7 @@ from triptych.operators.sampling import stratified_sample
 from triptych.plans import constants as fixed
 from triptych.plans import preparation, samples
 from triptych.plans.enrich import enrich_descriptions
+from triptych.staging import staged
 
 COUNT_DOCUMENTS = "(SELECT count(*) FROM documents)"
 
@@ -54,9 +55,13 @@ raw AS (
 
 
 def raw_books(spark, folder):
-    """Items as books: some without original title, authors, or with a year that is no number."""
+    """Items as books: some without original title, authors, or with a year that is no number.
+
+    Written like a landed raw table. Otherwise the optimizer infers the filter on the year, which is
+    made from the key, for every order line as well.
+    """
     k = F.col("item_id")
-    return bind.items(spark, folder).select(
+    made = bind.items(spark, folder).select(
         k.alias("row_id"),
         k.alias("id"),
         F.concat("title", F.lit(" "), k.cast("string")).alias("title"),
@@ -66,6 +71,7 @@ def raw_books(spark, folder):
         (F.col("rating") / 6.2).alias("average_rating"),
         (F.col("votes") * 400).alias("ratings_count"),
     )
+    return staged(made, "raw-books")
 
 
 RAW_BOOKS = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Whitespace as str.strip() and str.split() see it: Unicode white space plus the four separators.
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
-NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?inf(inity)?$"
+NUMBER = rf"(?iU)^{SPACE}*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf(inity)?){SPACE}*$"
 
 # Texts read as true.
 TRUE_WORDS = ("TRUE", "1", "T", "YES")
@@ -26,8 +26,7 @@ def missing_if_nan(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not wholly a number becomes NULL."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(c.rlike(NUMBER), strip(c).try_cast("double"))
 
 
 def blank_to_null(c: Column) -> Column:
