@@ -7,6 +7,7 @@ written table survives the loss of executors, and later reads prune columns and
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -16,18 +17,21 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary folder only in local mode."""
+    """The shared folder the session names.
+
+    Only where driver and executors are one process may it be left unset; a folder of this process
+    serves then.
+    """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    return _local_folder()
+    return _own_folder()
 
 
 @functools.cache
-def _local_folder() -> str:
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="triptych-")
 
 
@@ -41,3 +45,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/triptych-stage/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
