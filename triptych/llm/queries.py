@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triptych.llm import exact_dedup
+from triptych.llm import exact_dedup, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,16 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).drop("bucket")
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.span_digest(secrets.scan(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op9_secrets": secrets.ORACLE,
 }
