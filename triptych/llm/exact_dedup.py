@@ -54,7 +54,7 @@ def exact_dedup(
         heads = rest.groupBy("key").agg(F.max("doc_id").alias("head"))
         pending = staged(rest.join(heads, "key"), "dedup-chain")
     copies = reduce(DataFrame.unionByName, settled)
-    sizes = copies.groupBy("key", "link").agg(F.count("*").alias("group_size"))
+    sizes = staged(copies.groupBy("key", "link").agg(F.count("*").alias("group_size")), "dedup-sizes")
     single = entries.join(index.where("rows = 1").select("key", "bucket"), "key").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256", "bucket"
     )
@@ -121,10 +121,11 @@ def _directory(keys: DataFrame, bucket_keys: int, bits: int) -> DataFrame:
 
 def _compare_with_heads(pending: DataFrame, link: int) -> DataFrame:
     """Every text beside the head of its chain; texts that differ keep their bytes for the next."""
-    heads = (
+    heads = staged(  # written, so that the join below can split a hot key
         pending.where(F.col("doc_id").eqNullSafe(F.col("head")))
         .groupBy("key")
-        .agg(F.max("norm").alias("head_norm"))
+        .agg(F.max("norm").alias("head_norm")),
+        "dedup-heads",
     )
     same = F.col("norm") == F.col("head_norm")
     return pending.join(heads, "key").select(
