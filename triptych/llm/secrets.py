@@ -93,7 +93,9 @@ def scan(documents: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...
         of_these,
         lambda s: F.struct(s["start"], F.array_position(every, s["tag"]).alias("place"), s["kind"], s["end"]),
     )
-    findings = current.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(placed).alias("found"))
+    findings = staged(  # written, so that the join below can split a blob that many paths hold
+        current.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(placed).alias("found")), "secrets-findings"
+    )
     nothing = F.array().cast(f"array<{FOUND}>")
     return paths.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("found", nothing).alias("found"))
 
