@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triptych.llm import exact_dedup, secrets
+from triptych.llm import exact_dedup, packing, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +27,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_secrets": op9_secrets,
 }
