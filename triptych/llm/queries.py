@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from triptych.llm import exact_dedup, packing, secrets
+from triptych.llm import exact_dedup, minhash, packing, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.minhash_dedup(table(spark, folder, "documents"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
@@ -27,6 +31,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_secrets": op9_secrets,
