@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triptych.llm import exact_dedup, line_dedup, minhash, packing, secrets
+from triptych.llm import exact_dedup, line_dedup, minhash, mixing, packing, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,12 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.minhash_dedup(table(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents")).select(
+        "doc.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept"
+    )
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
@@ -36,6 +43,7 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
@@ -43,6 +51,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
