@@ -64,8 +64,9 @@ def mix_sources(
     probability = staged(calibrated(fitted, token_share), "mix-probability")
     key = F.coalesce(F.col("doc.doc_id").cast("string"), F.md5(whole("doc.text")))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("double") / 2**32
-    return rows.join(probability, list(DIMENSIONS)).select(
-        "doc", *DIMENSIONS, "tokens", "probability", (draw < F.col("probability")).alias("kept")
+    chance = F.coalesce("probability", F.lit(1.0))
+    return rows.join(probability, list(DIMENSIONS), "left").select(
+        "doc", *DIMENSIONS, "tokens", chance.alias("probability"), (draw < chance).alias("kept")
     )
 
 
@@ -173,9 +174,9 @@ cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM
                         / sum(w) FILTER (w * k < tokens) FROM w{step}) FROM scale WHERE n < 20),
 p AS (SELECT source, lang, topic, least(1.0, w * (SELECT k FROM scale WHERE n = 20) / tokens) AS p FROM w{step})""")
     return f"""WITH RECURSIVE {", ".join(parts)}
-SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
-       CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
-FROM d JOIN p USING (source, lang, topic)"""
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 1.0), 6) AS probability,
+       CAST('0x' || substr(md5('{SEED}:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p, 1.0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)"""
 
 
 ORACLE = _sql()
