@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triptych.llm import exact_dedup, line_dedup, minhash, mixing, packing, secrets
+import corpus_pipeline
+from triptych.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).drop("bucket")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc.doc_id", "p_content", "p_metadata", "p_quality", "p_toxic", "kept")
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.scan(table(spark, folder, "documents")))
 
@@ -47,7 +53,9 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality": op7_quality,
     "op9_secrets": op9_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
