@@ -8,6 +8,7 @@ closest to its capacity, with counts found by walking back through the bitsets.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ CLOSING_ID = 2
 # Pieces that meet in one task; one bucket leaves about one window half filled.
 BUCKET_PIECES = 20_000
 # Words whose ids a worker remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
 LONGEST_REMEMBERED = 64
+# Words of small letters up to U+00FF, which the tokenizer's normalisation leaves as they are.
+PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 TEXT_BLOCK = 1 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -40,47 +43,72 @@ class WordEncoder:
 
     Ids of words are remembered, up to a bound. Lower-casing ASCII letters, and cutting a run of
     punctuation off a word that ends in a letter before it, give the same ids for this tokenizer,
-    which makes most words known ones.
+    which makes most words known ones. Unknown words of small Latin letters are encoded together:
+    each is one word to the tokenizer, and ends with the next id of a word's end.
     """
 
     def __init__(self, file: str, remembered: int = REMEMBERED_WORDS):
         self.tokenizer = Tokenizer.from_file(file)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
         return b"".join(self._words(block) for block in _blocks(text))
 
     def _words(self, text: str) -> bytes:
-        known = self.known
         words = text.replace("\n", " ").split(" ")
-        found = [known.get(word) for word in words]
+        found = list(map(self.known.get, words))
         if None in found:
-            found = [self._word(word) if ids is None else ids for word, ids in zip(words, found)]
+            fresh = self._learn({word for word, ids in zip(words, found) if ids is None})
+            found = [fresh[word] if ids is None else ids for word, ids in zip(words, found)]
         return b"".join(found)
 
-    def _word(self, word: str) -> bytes:
-        known = self.known.get(word)
-        if known is not None:
-            return known
-        ids = self._parts(word)
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
-
-    def _parts(self, word: str) -> bytes:
-        if "|>" not in word:  # such a word may hold a special token
-            core = word.rstrip(string.punctuation)
-            if len(core) < len(word) and core[-1:].isalpha():
-                return self._word(core) + self._word(word[len(core) :])
-            if word.isascii() and not word.islower() and (lower := word.lower()) != word:
-                return self._word(lower)
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        parts = {word: _parts(word) for word in words}
+        unknown = {part for some in parts.values() for part in some if part not in self.known}
+        together = [part for part in unknown if PLAIN_WORD(part)]
+        fresh = self._encode_together(together)
+        for part in unknown:
+            if part not in fresh:
+                fresh[part] = self._encode(part)
+        for word, some in parts.items():
+            if word not in fresh:
+                fresh[word] = b"".join([fresh[p] if p in fresh else self.known[p] for p in some])
+        if len(self.known) + len(fresh) > self.remembered:
+            self.known.clear()
+        self.known.update((word, ids) for word, ids in fresh.items() if len(word) <= LONGEST_REMEMBERED)
+        return fresh
+
+    def _encode_together(self, words: list[str]) -> dict[str, bytes]:
+        if not words:
+            return {}
+        encoded = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(encoded, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word is not one word to the tokenizer")
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {word: data[first:end] for word, first, end in zip(words, cuts, cuts[1:])}
+
+    def _encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def _parts(word: str) -> list[str]:
+    """Parts of a word whose ids follow each other."""
+    if "|>" in word:  # it may hold a special token
+        return [word]
+    core = word.rstrip(string.punctuation)
+    rest = []
+    if len(core) < len(word) and core[-1:].isalpha():
+        rest, word = [word[len(core) :]], core
+    return [word.lower() if word.isascii() else word, *rest]
+
+
 def _blocks(text: str) -> Iterator[str]:
     """The text cut at spaces, so that a very long one is not split into words at once."""
     start = 0
