@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triptych.llm import exact_dedup, line_dedup, minhash, mixing, packing, quality, secrets
+from triptych.llm import exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.scan(table(spark, folder, "documents")))
 
 
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
     "op9_secrets": op9_secrets,
+    "op10_licences": op10_licences,
     "pipeline": corpus_pipeline.run,
 }
 
