@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triptych.llm import exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets
+from triptych.llm import embeddings, exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc.doc_id", "p_content", "p_metadata", "p_quality", "p_toxic", "kept")
 
 
+def op8_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedding_dedup(table(spark, folder, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.span_digest(secrets.scan(table(spark, folder, "documents")))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_licences": op10_licences,
     "pipeline": corpus_pipeline.run,
@@ -66,5 +71,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_embeddings": embeddings.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
