@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triptych.llm import embeddings, exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets
+from triptych.llm import embeddings, exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets, substring_dedup
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents")).drop("bucket")
 
 
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc.doc_id", "p_content", "p_metadata", "p_quality", "p_toxic", "kept")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substrings": op6_substrings,
     "op7_quality": op7_quality,
     "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
