@@ -350,12 +350,12 @@ def sample_movies(spark, folder):
         scored AS (
           SELECT cleaned.*, ratings_count / (ratings_count + m) * average_rating + m / (ratings_count + m) * c AS weighted_score
           FROM cleaned, prior)
-        SELECT book_id, title, authors, tag_list, round(weighted_score, 6) AS weighted_score
+        SELECT book_id, title, authors, average_rating, ratings_count, tag_list
         FROM scored ORDER BY scored.weighted_score DESC, row_id LIMIT 100""",
 )
 def sample_books(spark, folder):
     best = samples.sample_books(raw_books(spark, folder), raw_book_tags(spark, folder), raw_tags(spark, folder))
-    return best.select("book_id", "title", "authors", "tag_list", F.round("weighted_score", 6).alias("weighted_score"))
+    return best.select("book_id", "title", "authors", "average_rating", "ratings_count", "tag_list")
 
 
 @query(

@@ -12,7 +12,9 @@ from triptych.functions.text import STOP_WORDS
 from triptych.operators import counting, tfidf
 from triptych.plans import feedback_report as report
 from triptych.plans.enrich import enrich_descriptions
+from triptych.sources import feedback_log
 from triptych.sources.feedback_log import FEEDBACK_SCHEMA, append_feedback, read_feedback
+from triptych.streaming import feedback_stream as streams
 from triptych.streaming.feedback_stream import daily_report, daily_report_table, feedback_stream, run_to_table
 
 
@@ -107,9 +109,34 @@ def test_keywords_equal_plain_python(spark, max_terms):
     assert {r.id: r.text_representation for r in out} == {k: f"{texts[k]} {wanted[k]}" for k in texts}
 
 
-def test_texts_without_keywords_keep_a_trailing_space(spark):
+def test_without_any_frequent_term_texts_stay(spark):
     df = spark.createDataFrame([(1, "alpha"), (2, "")], "id bigint, text string")
-    assert sorted(r.text_representation for r in tfidf.emphasised(df, "id", "text").collect()) == [" ", "alpha "]
+    assert sorted(r.text_representation for r in tfidf.emphasised(df, "id", "text").collect()) == ["", "alpha"]
+
+
+def test_texts_without_keywords_keep_a_trailing_space(spark):
+    df = spark.createDataFrame([(1, "alpha"), (2, "alpha"), (3, "")], "id bigint, text string")
+    got = sorted(r.text_representation for r in tfidf.emphasised(df, "id", "text").collect())
+    assert got == [" ", "alpha alpha", "alpha alpha"]
+
+
+def test_reports_of_one_log_agree(spark, tmp_path):
+    """A field of another type is NULL; its record counts in every report, whatever columns it reads."""
+    log, out = str(tmp_path / "log"), str(tmp_path / "daily")
+    (tmp_path / "log").mkdir()
+    line = '{"timestamp": "2025-01-0%dT10:00:00", "feedback": {"satisfaction": "a", "stars": %s, "comments": "c%d"}}'
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join([line % (1, 5, 1), line % (2, '"many"', 2), line % (2, 3, 3), "[1]", "no"]))
+    records = read_feedback(spark, log)
+    assert records.count() == 3
+    assert sum(r.n for r in report.daily_counts(records).collect()) == 3
+    assert records.select("feedback.stars").where("stars is not null").count() == 2
+    assert [r.comment for r in report.recent_comments(records, 2).collect()] == ["c2", "c3"]
+    assert feedback_log.rejected_lines(spark, log).first().n == 2
+    days = lambda: {str(r.day): r.n for r in streams.daily_report_table(spark, log, out).collect()}
+    assert days() == {"2025-01-01": 1, "2025-01-02": 2}
+    (tmp_path / "log" / "a.jsonl").write_text("")
+    (tmp_path / "log" / "b.jsonl").write_text(line % (3, 1, 4))
+    assert days() == {"2025-01-01": 1, "2025-01-02": 2, "2025-01-03": 1}
 
 
 def test_word_join_without_broadcast_gives_the_same(spark, monkeypatch):

@@ -55,6 +55,34 @@ def test_more_wanted_than_there_is(spark, settings):
     assert cosine_topk(asked, stored.limit(0), 5, **settings).count() == 0
 
 
+@pytest.mark.parametrize("settings", STRATEGIES)
+def test_rows_without_a_vector_take_no_part(spark, settings):
+    targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame(
+        [(1, [1.0, 0.0], 2_000_000_000), (2, None, 5), (3, [0.0, 1.0], 1), (4, [0.0, 1.0], 0)],
+        "request_id bigint, vector array<double>, top_k int",
+    )
+    got = cosine_topk(asked, targets, top_k=None, **settings).collect()
+    assert sorted((r.request_id, r["rank"], r.item_id) for r in got) == [(1, 1, 2), (1, 2, 3), (3, 1, 3)]
+
+
+def test_an_item_without_a_vector_counts_as_not_found(spark, world):
+    _, lookup, vectors, targets = world
+    none = vectors.withColumn("embedding", F.when(F.col("media_type") == "book", F.col("embedding")))
+    results, status = recommend.recommend_from_combined_media(lookup, none, targets, "Up", "Dune", "t1")
+    row = status.first()
+    assert (row.movie_status, row.book_status, row.outcome) == ("❌ Not found: Up", "✅ Found: Dune", "ok")
+    assert results.count() == 4
+    _, status = recommend.recommend_from_combined_media(lookup, none.where("media_type <> 'book'"), targets, "Up", "Dune", "t1")
+    assert status.first().outcome == "nothing found"
+
+
+def test_repeated_summaries_show_one_card(spark):
+    results = spark.createDataFrame([(1, 1, "Rome", "Italy", 0.5, 10)], "request_id int, rank int, name string, country string, score double, population int")
+    texts = spark.createDataFrame([("Rome", "b"), ("Rome", "a"), ("Oslo", "c")], "name string, text string")
+    assert recommend.result_cards(results, texts).count() == 1
+
+
 def test_vectors_of_another_width_are_refused(spark):
     asked = vector_frame(spark, np.eye(3, dtype=np.float32), ("request_id", "vector"))
     stored = vector_frame(spark, np.eye(2, dtype=np.float32), ("item_id", "embedding"))

@@ -14,7 +14,7 @@ from triptych.operators.ranking import top_per_group
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Rows per value, most frequent first, ties by value; missing values are left out."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), column).limit(top) if top else counts.orderBy(F.desc("n"), column)
+    return counts.orderBy(F.desc("n"), column).limit(top) if top is not None else counts.orderBy(F.desc("n"), column)
 
 
 def value_counts_by_key(df: DataFrame, column: str) -> DataFrame:

@@ -30,7 +30,7 @@ def fuse_vectors(parts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     `vectors` has media_type, item_id, embedding. Queries without any vector and those whose
     weights add up to zero give no row. At most one vector per medium is collected per query.
     """
-    found = parts.join(vectors, ["media_type", "item_id"])
+    found = parts.join(vectors.where(F.col("embedding").isNotNull()), ["media_type", "item_id"])
     part = F.struct(
         "media_type", F.col("weight").cast("double").alias("weight"), F.col("embedding").alias("vector")
     )

@@ -37,15 +37,18 @@ def cosine_topk(
 
     `requests` has request_id, vector and, unless `top_k` is given, its own top_k; `targets` has
     item_id and a unit `embedding`. Both keys are unique. Every pair is scored, as a matrix product
-    inside a task that keeps its best k per request: pairs never become rows.
+    inside a task that keeps its best k per request: pairs never become rows. Rows without a vector
+    take no part (the audit reports them), and a `top_k` beyond the targets gives all of them.
 
     Targets of a checked size are broadcast, and each request is finished where it is, without a
     shuffle. Else requests of a checked size are broadcast to where the targets are. When both are
     large, blocks of one meet blocks of the other.
     """
     wanted = F.col("top_k") if top_k is None else F.lit(top_k)
-    asked = requests.select("request_id", "vector", wanted.cast("int").alias("top_k"))
-    stored = targets.select("item_id", "embedding")
+    asked = requests.where(F.col("vector").isNotNull()).select(
+        "request_id", "vector", F.greatest(F.coalesce(wanted, F.lit(0)), F.lit(0)).cast("int").alias("top_k")
+    )
+    stored = targets.where(F.col("embedding").isNotNull()).select("item_id", "embedding")
     dim = dim or _dimension(stored)
     if dim is None:
         return targets.sparkSession.createDataFrame([], RANKED)
@@ -67,8 +70,7 @@ def cosine_topk(
 
 
 def _dimension(targets: DataFrame) -> int | None:
-    row = targets.select(F.size("embedding").alias("dim")).first()
-    return None if row is None else row.dim
+    return targets.agg(F.max(F.size("embedding")).alias("dim")).first().dim
 
 
 def _requests_in_place(requests: DataFrame, targets: pa.Table, dim: int) -> DataFrame:
@@ -150,11 +152,14 @@ class BestRows:
     """The best k targets seen so far by each request of a block, best first."""
 
     def __init__(self, requests: int, k: int):
-        self.score = np.full((requests, k), -np.inf)
-        self.item = np.zeros((requests, k), dtype=np.int64)
+        self.k, self.seen = k, 0
+        self.score = np.full((requests, 0), -np.inf)
+        self.item = np.zeros((requests, 0), dtype=np.int64)
 
     def add(self, vectors: np.ndarray, items: np.ndarray, targets: np.ndarray) -> None:
         """Score all requests against more targets, one tile of bounded size at a time."""
+        self.seen += len(items)
+        self._widen(min(self.k, self.seen))
         requests, k = self.score.shape
         if not k:
             return
@@ -164,6 +169,13 @@ class BestRows:
             for r in range(0, requests, rows):
                 self._merge(r, ids, vectors[r : r + rows] @ tile)
 
+    def _widen(self, k: int) -> None:
+        """Room for k targets; there are never more places than targets seen."""
+        more = k - self.score.shape[1]
+        if more > 0:
+            self.score = np.pad(self.score, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.item = np.pad(self.item, ((0, 0), (0, more)))
+
     def _merge(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
         """Take over the scores of some requests that are among their best k.
 

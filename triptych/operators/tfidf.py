@@ -134,10 +134,16 @@ def keywords(
 def emphasised(
     docs: DataFrame, key: str, text: str, out: str = "text_representation", top: int = KEYWORDS, **settings
 ) -> DataFrame:
-    """Every text followed by a space and its keywords; without keywords only the space is added."""
+    """Every text followed by a space and its keywords; without keywords only the space is added.
+
+    When no term at all is frequent enough, the texts stay as they are.
+    """
     best = keywords(docs, key, text, top, **settings)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
     added = best.groupBy(key).agg(F.array_join(F.transform(ordered, lambda t: t["term"]), " ").alias("_words"))
+    added = staged(added, "emphasis")
+    if added.isEmpty():
+        return docs.withColumn(out, F.col(text))
     joined = docs.join(added, key, "left")
     return joined.withColumn(
         out, F.concat(F.col(text), F.lit(" "), F.coalesce("_words", F.lit("")))

@@ -65,6 +65,25 @@ BOOK_COLUMNS = (
 
 # --- music --------------------------------------------------------------------------------------
 MUSIC_NUMBERS = ("popularity", "duration_ms", "danceability", "energy", "valence")
+# Numbers and columns of the small samples.
+SAMPLE_MUSIC_NUMBERS = (
+    "popularity", "duration_ms", "danceability", "energy", "key", "loudness", "mode", "speechiness",
+    "acousticness", "instrumentalness", "liveness", "valence", "tempo", "time_signature",
+)
+SAMPLE_MOVIE_COLUMNS = (
+    "title", "original_title", "overview", "genres", "keywords", "production_countries", "release_date", "runtime",
+    "original_language", "vote_average", "vote_count", "popularity", "weighted_rating", "final_score",
+)
+SAMPLE_BOOK_COLUMNS = (
+    "book_id", "title", "original_title", "authors", "original_publication_year", "average_rating", "ratings_count",
+    "tag_list", "image_url", "small_image_url",
+)
+SAMPLE_PLACE_COLUMNS = ("name", "country", "city", "region", "population", "latitude", "longitude", "description")
+SAMPLE_MUSIC_COLUMNS = (
+    "track_id", "artists", "album_name", "track_name", "track_genre", "popularity", "duration_ms", "explicit",
+    "danceability", "energy", "loudness", "speechiness", "acousticness", "instrumentalness", "liveness", "valence",
+    "tempo", "key", "mode", "time_signature",
+)
 MUSIC_STRATA = (
     Stratum("Highly Popular (30%)", "popularity >= 70", 0.30),
     Stratum("Moderately Popular (30%)", "popularity >= 40 and popularity < 70", 0.30),

@@ -54,9 +54,15 @@ def comment_count(records: DataFrame) -> DataFrame:
 
 
 def recent_comments(records: DataFrame, most: int = 5) -> DataFrame:
-    """The last comments in order of arrival."""
-    last = commented(records).orderBy(F.desc("row_id")).limit(most)
-    return last.select("row_id", F.col("feedback.comments").alias("comment")).orderBy("row_id")
+    """The last comments in order of arrival.
+
+    Records read from the log have no row_id: they arrive in the order of their timestamps, and at
+    one time in the order of their comments.
+    """
+    arrival = ["row_id"] if "row_id" in records.columns else ["timestamp", "comment"]
+    comments = commented(records).withColumn("comment", F.col("feedback.comments"))
+    last = comments.orderBy(*map(F.desc, arrival)).limit(most)
+    return last.select(arrival[0], "comment").orderBy(*arrival)
 
 
 def top_inputs(records: DataFrame, most: int = 5) -> DataFrame:

@@ -101,8 +101,13 @@ def recommend_fused(
     return recommend_resolved(resolve_requests(valid, lookup), vectors, targets, dim)
 
 
-def request_status(requests: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Per request what was found, with the titles as typed, and the outcome as a whole."""
+def request_status(requests: DataFrame, lookup: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Per request what was found, with the titles as typed, and the outcome as a whole.
+
+    With `vectors`, an item without a vector counts as not found, since it cannot be searched for.
+    """
+    if vectors is not None:
+        lookup = lookup.join(vectors.where(F.col("embedding").isNotNull()).select("item_id", "media_type"), ["item_id", "media_type"], "left_semi")
     resolved = resolve_requests(complete(requests), lookup)
     ok = all_filled()
     found = [F.col(i).isNotNull() for i in ITEMS]
@@ -165,13 +170,14 @@ def recommend_from_combined_media(
     weights = [float(w) for w in (weights or (1.0, 1.0, 1.0))]
     request = lookup.sparkSession.createDataFrame([(0, *titles, *weights, top_k)], REQUEST_SCHEMA)
     results = with_metadata(recommend_fused(request, lookup, vectors, targets), targets)
-    return results.orderBy("rank"), request_status(request, lookup)
+    return results.orderBy("rank"), request_status(request, lookup, vectors)
 
 
 def result_cards(results: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """Display fields of ranked results: heading, badge, size text, excerpt, links.
 
     `summaries` (name, text) is a landed table; without it, or without a match, there is no excerpt.
+    Of several texts of a name the first in text order counts, so that no card is shown twice.
     """
     name = F.coalesce("name", F.lit("Unknown"))
     country = F.coalesce("country", F.lit("Unknown"))
@@ -179,7 +185,7 @@ def result_cards(results: DataFrame, summaries: DataFrame | None = None) -> Data
     if summaries is None:
         results = results.withColumn("_summary", F.lit(None).cast("string"))
     else:
-        texts = summaries.select("name", F.col("text").alias("_summary"))
+        texts = summaries.groupBy("name").agg(F.min("text").alias("_summary"))
         results = results.join(texts, "name", "left")
     return results.select(
         "request_id",

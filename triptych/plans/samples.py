@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from triptych.functions.cleaning import is_true_text, word_count
 from triptych.functions.describing import describe_place_sentences
+from triptych.operators.counting import coverage
 from triptych.operators.ranking import dedupe_first, top_rows
 from triptych.operators.rating import with_popularity_boost, with_weighted_rating
 from triptych.operators.sampling import capped_sample, relaxed_filter, twice_capped_sample
 from triptych.plans import constants as fixed
 from triptych.plans.preparation import clean_books, clean_places
-from triptych.sources.tables import coerce_numeric, ensure_columns
+from triptych.sources.tables import coerce_numeric, ensure_columns, keep_columns
 from triptych.staging import staged
 
 
@@ -33,7 +34,7 @@ def sample_movies(
         staged(df, "movie-sample"), "vote_average", "vote_count", fixed.SAMPLE_QUANTILE, whole_votes=True
     )
     boosted = with_popularity_boost(rated, "weighted_rating", "popularity")
-    return top_rows(boosted, ["final_score", "vote_count"], "row_id", rows)
+    return keep_columns(top_rows(boosted, ["final_score", "vote_count"], "row_id", rows), fixed.SAMPLE_MOVIE_COLUMNS)
 
 
 def sample_books(
@@ -48,7 +49,7 @@ def sample_books(
     rated = with_weighted_rating(
         cleaned, "average_rating", "ratings_count", fixed.SAMPLE_QUANTILE, "weighted_score"
     )
-    return top_rows(rated, ["weighted_score"], "row_id", rows)
+    return keep_columns(top_rows(rated, ["weighted_score"], "row_id", rows), fixed.SAMPLE_BOOK_COLUMNS)
 
 
 def sample_places(
@@ -57,12 +58,13 @@ def sample_places(
     """Most populous places with a cap per country, described in sentences."""
     cleaned = staged(clean_places(raw, ("latitude", "longitude"), fill_population=False), "place-sample")
     picked = capped_sample(cleaned, ["population"], "row_id", "country", per_country, rows)
-    return picked.withColumn(
+    described = picked.withColumn(
         "description",
         describe_place_sentences(
             *[F.col(c) for c in ("name", "country", "population", "region", "latitude", "longitude")]
         ),
     )
+    return keep_columns(described, fixed.SAMPLE_PLACE_COLUMNS)
 
 
 def sample_music(
@@ -77,7 +79,7 @@ def sample_music(
 
     When too few reach the popularity, that condition alone is dropped.
     """
-    df = coerce_numeric(raw, fixed.MUSIC_NUMBERS)
+    df = coerce_numeric(raw, fixed.SAMPLE_MUSIC_NUMBERS)
     df = ensure_columns(df, {"popularity": "double"}, {"popularity": 0.0})
     keys = ["track_id"] if "track_id" in df.columns else ["artists", "track_name"]
     df = dedupe_first(df, keys, "row_id")
@@ -86,6 +88,12 @@ def sample_music(
         kept = kept & ~is_true_text(F.col("explicit"))
     df = staged(df.where(kept), "music-sample")
     found = relaxed_filter(df, f"popularity >= {popularity}", "true", rows, keys, "row_id")
-    return twice_capped_sample(
+    picked = twice_capped_sample(
         found, ["popularity"], "row_id", ("artists", per_artist), ("track_genre", per_genre), rows
     )
+    return keep_columns(picked, fixed.SAMPLE_MUSIC_COLUMNS)
+
+
+def sample_coverage(sample: DataFrame) -> DataFrame:
+    """Artists and genres that a sample of tracks covers."""
+    return coverage(sample, [c for c in ("artists", "track_genre") if c in sample.columns])

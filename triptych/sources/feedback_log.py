@@ -18,8 +18,28 @@ FEEDBACK_SCHEMA = (
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """All well-formed records; malformed and blank lines are skipped, a missing log is empty."""
-    return load_table(spark, path, FEEDBACK_SCHEMA, format="json", required=False, mode="DROPMALFORMED")
+    """All records; lines that are not a JSON object are skipped, a missing log is empty.
+
+    A field of another type than the schema's is NULL, and its record stays.
+    """
+    return parsed(load_table(spark, path, "value string", format="text", required=False))
+
+
+def is_record(line: Column) -> Column:
+    """Whether a line of the log holds a JSON object."""
+    return F.coalesce(F.ltrim(line).startswith("{") & F.try_parse_json(line).isNotNull(), F.lit(False))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The records of lines of text (value), each parsed once."""
+    record = F.from_json("value", FEEDBACK_SCHEMA, {"mode": "PERMISSIVE"})
+    return lines.where(is_record(F.col("value"))).select(record.alias("r")).select("r.*")
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """How many lines of the log are not records: n. Blank lines do not count."""
+    lines = load_table(spark, path, "value string", format="text", required=False)
+    return lines.where((F.trim("value") != "") & ~is_record(F.col("value"))).agg(F.count("*").alias("n"))
 
 
 def append_feedback(records: DataFrame, path: str) -> None:

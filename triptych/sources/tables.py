@@ -118,12 +118,13 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def with_source_order(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Position of every row in its source, as an orderable value.
 
-    Only for a frame read straight from files: (file, offset of the block, row within the task).
+    Only for a frame read straight from files: (file, offset of the block, row within the task). The
+    folder is left out, so that a copy of the files elsewhere has the same order and the same draws.
     """
     return df.withColumn(
         name,
         F.struct(
-            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_name").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ),

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from triptych.sources.feedback_log import FEEDBACK_SCHEMA
+from triptych.sources.feedback_log import parsed
 from triptych.staging import new_path
 
 LATENESS = "1 day"
 
 
 def feedback_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The log as a stream; malformed lines are skipped as in the batch reader."""
-    reader = spark.readStream.schema(FEEDBACK_SCHEMA).option("mode", "DROPMALFORMED")
+    """The log as a stream; lines are parsed and skipped as in the batch reader."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return parsed(reader.text(path))
 
 
 def daily_report(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -42,8 +42,11 @@ def daily_report(records: DataFrame, lateness: str = LATENESS) -> DataFrame:
     )
 
 
-def run_to_table(report: DataFrame, out: str, mode: str = "complete") -> StreamingQuery:
-    """Process what has arrived and stop.
+def run_to_table(report: DataFrame, out: str, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
+    """Process what has arrived since the last run with this `checkpoint` and stop.
+
+    The checkpoint belongs to the table and lies beside it unless it is named, so that a later run
+    for the same table reads new files of the log only.
 
     In complete mode the table is replaced by every batch and holds all days; in append mode days
     are added once the watermark has passed them, and a batch that is run again replaces its own
@@ -54,7 +57,7 @@ def run_to_table(report: DataFrame, out: str, mode: str = "complete") -> Streami
         target = out if mode == "complete" else f"{out}/batch={number}"
         batch.write.mode("overwrite").parquet(target)
 
-    checkpoint = new_path(report.sparkSession, "stream")
+    checkpoint = checkpoint or f"{out.rstrip('/')}-checkpoint"
     query = (
         report.writeStream.outputMode(mode)
         .foreachBatch(write)
