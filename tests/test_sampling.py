@@ -149,9 +149,8 @@ def test_twice_capped_sample_equals_the_loop(spark, seed):
     df = spark.createDataFrame(rows, "id bigint, score int, artist string, genre string")
     cap_a, cap_b, target = rng.randrange(1, 4), rng.randrange(1, 12), rng.randrange(5, 120)
     wanted = walk(rows, cap_a, cap_b, target)
-    for chunk in (7, 20_000):
-        got = sampling.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target, fill=False, chunk=chunk)
-        assert sorted(r.id for r in got.collect()) == sorted(wanted)
+    got = sampling.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target, fill=False)
+    assert sorted(r.id for r in got.collect()) == sorted(wanted)
     filled = sampling.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target)
     rest = [r[0] for r in by_rank(rows) if r[0] not in wanted][: target - len(wanted)]
     assert sorted(r.id for r in filled.collect()) == sorted(wanted + rest)

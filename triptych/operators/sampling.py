@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptych.functions.cleaning import strip
@@ -15,6 +14,7 @@ from triptych.staging import staged
 
 EXTRA = "Extra"
 SEED = "42"
+OPEN, PICKED, PASSED = 0, 1, 2
 
 
 class Stratum(NamedTuple):
@@ -117,19 +117,18 @@ def twice_capped_sample(
     second: tuple[str, int],
     target: int,
     fill: bool = True,
-    chunk: int = 20_000,
 ) -> DataFrame:
     """Going down the ranking, pick rows while neither of their two groups is full.
 
     `first` and `second` are (column, cap); blank groups and absent columns have no cap. A row counts against a cap
-    only when picked, so ranks within the groups are not enough. Two facts keep the work small and
-    exact. Within one pair of groups the picked rows are the first ones, at most the smaller cap,
-    which prunes every pair before the shuffle. And a row passed over belongs to a full group, of
-    which no row is picked later; so each round decides the next `chunk` rows of the ranking that
-    are neither picked nor in a full group. With `fill`, the best other rows follow if too few.
+    only when picked, so ranks within the groups are not enough. Within one pair of groups the
+    picked rows are the first ones, at most the smaller cap, which prunes every pair before the
+    shuffle. The others are decided in rounds, all groups at once: a row is picked when it fits even
+    if all open rows before it are, and passed over when those already picked fill one of its
+    groups. The first open row of the ranking is always decided, and most rows are in few rounds.
+    With `fill`, the best other rows follow if too few.
     """
     (a, cap_a), (b, cap_b) = first, second
-    spark = df.sparkSession
     order = descending(scores, key)
     narrow = df.select(key, *scores, filled_text(df, a).alias("_a"), filled_text(df, b).alias("_b"))
     has_a, has_b = F.col("_a") != "", F.col("_b") != ""
@@ -139,37 +138,43 @@ def twice_capped_sample(
     )
     pruned = pairs.where(F.col("_place") <= pair_cap).drop("_place")
     uncapped = narrow.where(~has_a & ~has_b).orderBy(*order).limit(target)
-    candidates = staged(pruned.unionByName(uncapped), "candidates")
-
-    picked: list = []
-    used_a: Counter[str] = Counter()
-    used_b: Counter[str] = Counter()
-    decided_all = False
-    while len(picked) < target and not decided_all:
-        rest = candidates
-        for column, done in (
-            (key, picked),
-            ("_a", [g for g, n in used_a.items() if g and n >= cap_a]),
-            ("_b", [g for g, n in used_b.items() if g and n >= cap_b]),
-        ):
-            if done:
-                kind = candidates.select(column).schema
-                rest = rest.join(spark.createDataFrame([(v,) for v in done], kind), column, "left_anti")
-        rows = rest.orderBy(*order).limit(chunk).select(key, "_a", "_b").collect()
-        decided_all = len(rows) < chunk
-        for row_key, group_a, group_b in rows:
-            if len(picked) == target:
-                break
-            if (group_a and used_a[group_a] >= cap_a) or (group_b and used_b[group_b] >= cap_b):
-                continue
-            picked.append(row_key)
-            used_a[group_a] += 1
-            used_b[group_b] += 1
-
-    chosen = spark.createDataFrame([(v,) for v in picked], candidates.select(key).schema)
-    result = df.join(F.broadcast(chosen), key).select(*df.columns)
-    if fill and len(picked) < target:
-        others = leftover(df, chosen, key).orderBy(*order).limit(target - len(picked))
+    # A row without a group is on its own there, so that blank groups are not one large window.
+    alone = F.concat(F.lit("key "), F.xxhash64(key).cast("string"))
+    state = staged(
+        pruned.unionByName(uncapped).select(
+            "*",
+            F.when(has_a, F.concat(F.lit("group "), "_a")).otherwise(alone).alias("_in_a"),
+            F.when(has_b, F.concat(F.lit("group "), "_b")).otherwise(alone).alias("_in_b"),
+            F.lit(OPEN).alias("_state"),
+        ),
+        "candidates",
+    )
+    # Open rows below the first `target` that may be picked change nothing.
+    leading = lambda: state.where(F.col("_state") != PASSED).orderBy(*order).limit(target)
+    while not leading().where(F.col("_state") == OPEN).isEmpty():
+        decided = state
+        for group, cap in (("_in_a", cap_a), ("_in_b", cap_b)):
+            before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            taken = F.coalesce(F.sum(F.when(F.col("_state") == PICKED, 1)).over(before), F.lit(0))
+            possible = F.coalesce(F.sum(F.when(F.col("_state") != PASSED, 1)).over(before), F.lit(0))
+            capped = F.col(group).startswith("group ")
+            decided = decided.withColumn(f"_full{group}", capped & (taken >= cap)).withColumn(
+                f"_fits{group}", ~capped | (possible < cap)
+            )
+        after = (
+            F.when(F.col("_state") != OPEN, F.col("_state"))
+            .when(F.col("_full_in_a") | F.col("_full_in_b"), PASSED)
+            .when(F.col("_fits_in_a") & F.col("_fits_in_b"), PICKED)
+            .otherwise(OPEN)
+        )
+        state = staged(decided.select(*[c for c in state.columns if c != "_state"], after.alias("_state")), "candidates")
+
+    picked = state.where(F.col("_state") == PICKED)
+    chosen = staged(picked.orderBy(*order).limit(target).select(key), "picked")
+    result = df.join(chosen, key).select(*df.columns)
+    found = chosen.count()
+    if fill and found < target:
+        others = leftover(df, chosen, key).orderBy(*order).limit(target - found)
         result = result.unionByName(others)
     return result
 
