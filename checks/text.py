@@ -6,11 +6,22 @@ from pyspark.sql import functions as F
 
 from checks.bind import table
 from checks.registry import query
-from triptych.functions.text import STOP_WORDS, TOKEN, tokens
+from triptych.functions.text import STOP_WORDS, tokens
 from triptych.operators import tfidf
 from triptych.operators.encode import embed_texts, hashing_encoder
 
-STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+# Written out again, so that a change of the library's values shows in the checks.
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+STOPPED = (
+    "a about above after again all am an and any are as at be because been before being below "
+    "between both but by can could did do does doing down during each few for from further had "
+    "has have having he her here hers him his how i if in into is it its itself just me more "
+    "most my no nor not now of off on once only or other our ours out over own same she should "
+    "so some such than that the their theirs them then there these they this those through to "
+    "too under until up very was we were what when where which while who whom why will with "
+    "would you your yours"
+).split()
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOPPED) + "]"
 
 
 def words_sql(relation: str, key: str, text: str) -> str:

@@ -34,24 +34,26 @@ def prepare_all(
     out: str,
     rows: Mapping[str, int] = fixed.TARGET_ROWS,
     use_tfidf: bool = True,
+    **settings,
 ) -> tuple[DataFrame, DataFrame]:
     """Prepare every kind whose files exist; returns rows per table and rows per stratum.
 
     `sources` has the paths of movie, book, book_tags, tags, music and destination. The processed
-    tables are written to `out`, one folder per kind.
+    tables are written to `out`, one folder per kind. Further settings, such as `stop_words`, are
+    those of the emphasis on keywords.
     """
     raw = {k: raw_table(spark, p, k) for k, p in sources.items() if exists(spark, p)}
     jobs: dict[str, Callable[[], DataFrame]] = {}
     if "movie" in raw:
-        jobs["movie"] = lambda: prepare_movies(raw["movie"], rows["movie"], use_tfidf=use_tfidf)
+        jobs["movie"] = lambda: prepare_movies(raw["movie"], rows["movie"], use_tfidf=use_tfidf, **settings)
     if {"book", "book_tags", "tags"} <= raw.keys():
         jobs["book"] = lambda: prepare_books(
-            raw["book"], raw["book_tags"], raw["tags"].drop("row_id"), rows["book"], use_tfidf=use_tfidf
+            raw["book"], raw["book_tags"], raw["tags"].drop("row_id"), rows["book"], use_tfidf=use_tfidf, **settings
         )
     if "music" in raw:
-        jobs["music"] = lambda: prepare_music(raw["music"], rows["music"], use_tfidf=use_tfidf)
+        jobs["music"] = lambda: prepare_music(raw["music"], rows["music"], use_tfidf=use_tfidf, **settings)
     if "destination" in raw:
-        jobs["destination"] = lambda: prepare_places(raw["destination"], rows["destination"], use_tfidf=use_tfidf)
+        jobs["destination"] = lambda: prepare_places(raw["destination"], rows["destination"], use_tfidf=use_tfidf, **settings)
     written = {}
     for kind, job in jobs.items():
         processed = job()

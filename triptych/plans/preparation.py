@@ -66,13 +66,14 @@ def prepare_movies(
     rows: int = fixed.TARGET_ROWS["movie"],
     strata: Sequence[Stratum] = fixed.MOVIE_STRATA,
     use_tfidf: bool = True,
+    **settings,
 ) -> DataFrame:
     scored = score_movies(staged(clean_movies(raw), "movies"))
     sampled = filled_sample(scored, rows, strata, "weighted_rating", "row_id")
     described = sampled.withColumn(
         "_text", text_representation(F.col("title"), F.col("overview"), F.col("genres"))
     )
-    return finish(described, "_text", fixed.MOVIE_COLUMNS, use_tfidf)
+    return finish(described, "_text", fixed.MOVIE_COLUMNS, use_tfidf, **settings)
 
 
 def tagged_books(books: DataFrame, book_tags: DataFrame, tags: DataFrame, first: int) -> DataFrame:
@@ -102,6 +103,7 @@ def prepare_books(
     strata: Sequence[Stratum] = fixed.BOOK_STRATA,
     condition: str = fixed.BOOK_FILTER,
     use_tfidf: bool = True,
+    **settings,
 ) -> DataFrame:
     cleaned = staged(clean_books(books, book_tags, tags, condition, fixed.BOOK_TAGS), "books")
     scored = with_weighted_rating(
@@ -111,7 +113,7 @@ def prepare_books(
     described = sampled.withColumn(
         "_text", text_representation(F.col("title"), F.col("authors"), F.col("tag_list"))
     )
-    return finish(described, "_text", fixed.BOOK_COLUMNS, use_tfidf)
+    return finish(described, "_text", fixed.BOOK_COLUMNS, use_tfidf, **settings)
 
 
 def clean_music(raw: DataFrame) -> DataFrame:
@@ -135,13 +137,14 @@ def prepare_music(
     rows: int = fixed.TARGET_ROWS["music"],
     strata: Sequence[Stratum] = fixed.MUSIC_STRATA,
     use_tfidf: bool = True,
+    **settings,
 ) -> DataFrame:
     cleaned = staged(clean_music(raw), "music")
     sampled = filled_sample(cleaned, rows, strata, "popularity", "row_id")
     kinds = {c: "string" for c in ("track_name", "artists", "track_genre")}
     kinds |= {c: "double" for c in ("energy", "valence", "danceability")}
     described = ensure_columns(sampled, kinds).withColumn("audio_description", describe_audio(*audio_text()))
-    return finish(described, "audio_description", fixed.MUSIC_COLUMNS, use_tfidf)
+    return finish(described, "audio_description", fixed.MUSIC_COLUMNS, use_tfidf, **settings)
 
 
 def clean_places(raw: DataFrame, required: Sequence[str] = ("latitude",), fill_population: bool = True) -> DataFrame:
@@ -169,13 +172,14 @@ def prepare_places(
     rows: int = fixed.TARGET_ROWS["destination"],
     strata: Sequence[Stratum] = fixed.PLACE_STRATA,
     use_tfidf: bool = True,
+    **settings,
 ) -> DataFrame:
     sampled = filled_sample(staged(clean_places(raw), "places"), rows, strata, "population", "row_id")
     described = sampled.withColumn(
         "description",
         describe_place(F.col("name"), F.col("country"), F.col("population"), F.col("region")),
     )
-    return finish(described, "description", fixed.PLACE_COLUMNS, use_tfidf)
+    return finish(described, "description", fixed.PLACE_COLUMNS, use_tfidf, **settings)
 
 
 def strata_summary(processed: Mapping[str, DataFrame]) -> DataFrame:
