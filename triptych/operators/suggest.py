@@ -53,9 +53,10 @@ def suggest_titles(
 ) -> DataFrame:
     """Suggestions for a table of requests (request_id, media_type, query): request_id, rank, title.
 
-    Equal queries and equal titles are searched once. Titles are read in place against the
-    broadcast queries, or block against block when there are many; a task returns at most `most`
-    titles per query, so that a text found in every title costs no more than a rare one.
+    Equal queries and equal titles are searched once. Literal queries are looked up among the
+    substrings of the titles. Patterns are searched where the titles are against the broadcast
+    queries, or block against block when there are many; a task returns at most `most` titles per
+    query. `row_id` orders the titles; for patterns it is a whole number.
     """
     columns = [t for t in titles if t in items.columns]
     asked = requests.select("request_id", "media_type", title_key(F.col("query")).alias("query")).where(
@@ -70,12 +71,16 @@ def suggest_titles(
         .groupBy("media_type", "title", *[f"text{i}" for i in range(len(columns))])
         .agg(F.min("row_id").alias("row_id"))
     )
+    if not regex:
+        small = queries.count() <= broadcast_queries
+        seen = _containing(F.broadcast(queries) if small else queries, queries, stock, len(columns))
+        return _best(asked, queries, seen, most)
     small = collect_if_small(queries, broadcast_queries)
     if small is not None:
         shared = stock.sparkSession.sparkContext.broadcast(small)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _first_titles(shared.value, batches, most, regex).to_batches()
+            yield from _first_titles(shared.value, batches, most).to_batches()
 
         found = stock.mapInArrow(search, FOUND)
     else:
@@ -84,11 +89,36 @@ def suggest_titles(
             stock,
             "query_id",
             "row_id",
-            lambda q, t: _first_titles(q, t.to_batches(), most, regex),
+            lambda q, t: _first_titles(q, t.to_batches(), most),
             FOUND,
             block_rows,
         )
-    seen = found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id"))
+    return _best(asked, queries, found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id")), most)
+
+
+def _containing(known: DataFrame, queries: DataFrame, stock: DataFrame, texts: int) -> DataFrame:
+    """query_id, title, row_id of the titles that contain a query.
+
+    The substrings of a title that are as long as some query of its medium are looked up among the
+    queries, on the spot when these are broadcast.
+    """
+    # One row for each medium.
+    sizes = queries.groupBy("media_type").agg(F.collect_set(F.length("query")).alias("sizes"))
+
+    def parts(text: str) -> Column:
+        of_size = lambda size: F.when(
+            F.length(text) >= size,
+            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(text, at, size)),
+        )
+        return F.coalesce(F.flatten(F.array_compact(F.transform("sizes", of_size))), F.array().cast("array<string>"))
+
+    held = F.array_distinct(F.concat(*[parts(f"text{i}") for i in range(texts)]))
+    cut = stock.join(F.broadcast(sizes), "media_type").select("media_type", "title", "row_id", F.explode(held).alias("query"))
+    found = cut.join(known, ["media_type", "query"])
+    return found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id"))
+
+
+def _best(asked: DataFrame, queries: DataFrame, seen: DataFrame, most: int) -> DataFrame:
     best = top_per_group(seen, ["query_id"], [F.col("row_id"), F.col("title")], most, "row_id", rank="rank")
     named = best.join(queries, "query_id").select("media_type", "query", "rank", "title")
     return asked.join(named, ["media_type", "query"]).select("request_id", "rank", "title")
@@ -102,27 +132,17 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def _first_titles(
-    queries: pa.Table, batches: Iterable[pa.RecordBatch], most: int, regex: bool
+    queries: pa.Table, batches: Iterable[pa.RecordBatch], most: int
 ) -> pa.Table:
-    """For each query the first `most` distinct titles of the batches that contain it."""
+    """For each pattern the first `most` distinct titles of the batches that hold it."""
     wanted: dict[str, dict[str, int]] = defaultdict(dict)
     for media, text, query_id in zip(*(queries.column(c).to_pylist() for c in ("media_type", "query", "query_id"))):
         wanted[media][text] = query_id
-    lengths = {media: sorted({len(t) for t in texts}) for media, texts in wanted.items()}
-    patterns = {m: [(re.compile(t), i) for t, i in texts.items()] for m, texts in wanted.items()} if regex else {}
+    patterns = {m: [(re.compile(t), i) for t, i in texts.items()] for m, texts in wanted.items()}
     best: dict[int, dict[str, int]] = defaultdict(dict)
 
     def matches(media: str, text: str) -> set[int]:
-        if regex:
-            return {i for pattern, i in patterns[media] if pattern.search(text)}
-        known = wanted[media]
-        parts = {
-            text[at : at + size]
-            for size in lengths[media]
-            if size <= len(text)
-            for at in range(len(text) - size + 1)
-        }
-        return {known[part] for part in parts & known.keys()}
+        return {i for pattern, i in patterns[media] if pattern.search(text)}
 
     for batch in batches:
         texts = [n for n in batch.schema.names if n.startswith("text")]
