@@ -95,6 +95,11 @@ def grams(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, F.filter(pairs, lambda pair: pair.contains(" "))))
 
 
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """`rows` with the grams of their text; its words are found once, in a column of their own."""
+    return rows.withColumn("tokens", words(F.col("text"))).withColumn("grams", grams(F.col("tokens"))).drop("tokens")
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text), paragraph (from 0), text of all lines that hold something."""
     lines = documents.select(
@@ -134,7 +139,7 @@ def train(documents: DataFrame) -> Classifier:
         .unionByName(_built_in_plain(spark))
     )
     examples = staged(
-        rows.select(F.col("label").cast("double"), grams(words(F.col("text"))).alias("grams"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held")),
+        _with_grams(rows).select(F.col("label").cast("double"), "grams", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held")),
         "licence-examples",
     )
     hashed = _hashed(examples)
@@ -188,7 +193,7 @@ def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
 
 def findings(documents: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, version, paragraph, family, p, overlap of all paragraphs that hold a notice."""
-    rows = paragraphs(documents).withColumn("grams", grams(words(F.col("text")))).drop("text")
+    rows = _with_grams(paragraphs(documents)).drop("text")
     margin = F.col("margin")
     # A class with more than half of the probability has the largest margin.
     plain = F.element_at(margin, CLASSES.index(NONE) + 1) > F.array_max(F.slice(margin, 1, CLASSES.index(NONE))) + ODDS * classifier.temperature
