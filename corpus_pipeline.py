@@ -32,7 +32,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
     dropped = staged(minhash.minhash_dedup(docs).where("not kept").select("doc_id"), "pipeline-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
