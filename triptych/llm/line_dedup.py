@@ -53,7 +53,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     removed = removals(documents)
     kept = F.struct("*")
     rows = documents.select(kept.alias("row"), F.col("doc_id").cast("bigint").alias("id"), _version().alias("version"))
-    cut = rows.join(removed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("version") == F.col("v")), "left")
+    cut = rows.join(removed.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("version") == F.col("v")), "left")
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(without_lines("row.text", "cuts"))
     return cut.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
@@ -62,7 +62,7 @@ def line_report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chunks (removed), kept_sha256 of every document."""
     removed = removals(documents)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("id"), whole("text").alias("text"), _version().alias("version"))
-    cut = rows.join(removed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("version") == F.col("v")), "left")
+    cut = rows.join(removed.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("version") == F.col("v")), "left")
     kept = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(without_lines("text", "cuts"))
     lengths = F.transform("cuts", lambda c: c["lines"])
     total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, n: a + n)
@@ -90,7 +90,7 @@ def removals(documents: DataFrame) -> DataFrame:
     )
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
     occurrences = staged(
-        texts.join(planned, same).select("doc_id", "version", "text", "chunks").mapInArrow(_passages, OCCURRENCES),
+        texts.join(planned.hint("merge"), same).select("doc_id", "version", "text", "chunks").mapInArrow(_passages, OCCURRENCES),
         "line-occurrences",
     )
     # Grouping and joining on the passage itself compares the bytes.
