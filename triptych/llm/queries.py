@@ -31,7 +31,7 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, folder, "documents"))
+    return line_dedup.line_report(table(spark, folder, "documents"), line_dedup.passage_removals)
 
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
