@@ -3,21 +3,26 @@
 A multinomial logistic regression over hashed word n-grams is trained on notices of each family, on
 notices of unknown licences, and on a bounded sample of paragraphs without a notice. Its
 probabilities are calibrated on notices held out. A paragraph is of a family when the calibrated
-probability is high enough and the paragraph holds most of a template of that family; a notice that
-fails either, but speaks of a licence, is of an unknown one.
+probability is high enough and the paragraph holds most of a template of that family, and of no other
+licence more; templates are names, headers, paragraphs of the licences' own texts, and identifiers,
+which are compared whole. Any other notice that has wording of one is of an unknown licence. Lines of unknown ones that are
+next to each other are compared with the templates together, as a notice may be wrapped.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import textwrap
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triptych.llm.licence_texts import IDENTIFIERS, OTHER_IDENTIFIERS, OTHER_TEXTS, SPDX, TEXTS
 from triptych.llm.text import lower_ascii, whole
 from triptych.staging import staged
 
@@ -58,8 +63,13 @@ GRANTS = (
     "Code in this repository is covered by {}.",
     "You may use this material under the terms of {}.",
 )
-# Words of which a notice of an unknown licence holds one.
+# A notice of an unknown licence holds one of these words, or so many word pairs of notices.
 CUES = ("license", "licence", "licensed", "licenced", "licensing", "copyright", "copyrighted")
+LEAST_TELLING = 3
+# Forms in which headers and paragraphs are trained, and widths at which they are wrapped.
+FORMS = ("/* {} */", "# {}")
+WIDTHS = (60, 78)
+LEAST_WORDS = 4  # of a wrapped line that is trained
 # Paragraphs without a notice that are gathered for training, and documents they are taken from.
 PLAIN_ROWS = 2_000
 PLAIN_DOCUMENTS = 1_000
@@ -76,6 +86,7 @@ TEMPERATURES = tuple(2 ** (k / 4) for k in range(-8, 13))
 class Classifier:
     model: LogisticRegressionModel
     temperature: float
+    telling: tuple[str, ...]  # word pairs of notices that no plain paragraph of the training holds
 
     def margins(self, rows: DataFrame) -> DataFrame:
         """`rows` (with grams) and margin: one number for each of CLASSES."""
@@ -101,13 +112,23 @@ def _with_grams(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, version (a hash of the text), paragraph (from 0), text of all lines that hold something."""
+    """doc_id, version (a hash of the text), paragraph (from 0), text, before, after of all lines that hold something."""
     lines = documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.xxhash64(whole("text")).alias("version"),
-        F.posexplode(F.split(whole("text"), "\n", -1)).alias("paragraph", "text"),
+        F.split(whole("text"), "\n", -1).alias("text"),
+    )
+    outside, others = F.array(F.lit("")), F.size("text") - 1
+    zipped = F.arrays_zip(
+        "text",
+        F.concat(outside, F.slice("text", F.lit(1), others)).alias("before"),
+        F.concat(F.slice("text", F.lit(2), others), outside).alias("after"),
+    )
+    return (
+        lines.select("doc_id", "version", F.posexplode(zipped).alias("paragraph", "line"))
+        .select("doc_id", "version", "paragraph", "line.*")
+        .where(F.trim("text") != "")
     )
-    return lines.where(F.trim("text") != "")
 
 
 def train(documents: DataFrame) -> Classifier:
@@ -121,7 +142,7 @@ def train(documents: DataFrame) -> Classifier:
     # At most PLAIN_DOCUMENTS numbers.
     sampled = paragraphs(documents.join(F.broadcast(some), F.col("doc_id") == F.col("id"), "left_semi"))
     plain = (
-        sampled.where(~lower_ascii(F.col("text")).rlike("licen[sc]|copyright|public domain"))
+        sampled.where(~lower_ascii(F.col("text")).rlike("licen[sc]|copyright|public domain|hereby granted|redistribut|warrant|free software"))
         .orderBy(F.xxhash64("text"), "text")
         .limit(PLAIN_ROWS)
         .select("text")
@@ -146,7 +167,11 @@ def train(documents: DataFrame) -> Classifier:
     model = LogisticRegression(maxIter=25, regParam=1e-3, family="multinomial", labelCol="label").fit(
         hashed.where("not held").coalesce(1)
     )
-    return Classifier(model, _temperature(model, hashed.where("held")))
+    found = _with_grams(notices.select("text")).select(F.explode("grams").alias("gram")).where(F.col("gram").contains(" ")).distinct()
+    seen = examples.where(F.col("label") == CLASSES.index(NONE)).select(F.explode("grams").alias("gram")).distinct()
+    # At most the word pairs of the notices above.
+    telling = tuple(sorted(r.gram for r in found.join(seen, "gram", "left_anti").collect()))
+    return Classifier(model, _temperature(model, hashed.where("held")), telling)
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -154,16 +179,47 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def _notices(spark: SparkSession) -> DataFrame:
-    """label, text, n: every grant of every name."""
+    """label, text, n: every grant of every name, and all texts and identifiers; n is null for parts and other forms of them."""
     names = [(CLASSES.index(f), name) for f, named in FAMILIES.items() for name in named]
     names += [(CLASSES.index(UNKNOWN), name) for name in OTHER_NAMES]
-    texts = [(label, grant.format(name)) for label, name in names for grant in GRANTS]
-    return _literal(spark, texts).withColumn("n", F.pmod(F.xxhash64("text"), F.lit(64)))
+    whole_ones = [(label, grant.format(name)) for label, name in names for grant in GRANTS]
+    others = []
+    for family, text in _texts() + _identifiers():
+        label = CLASSES.index(family)
+        whole_ones.append((label, text))
+        others += [(label, form.format(text)) for form in FORMS]
+    for family, text in _texts():
+        lines = {line for width in WIDTHS for line in textwrap.wrap(text, width) if len(line.split()) >= LEAST_WORDS}
+        others += [(CLASSES.index(family), line) for line in sorted(lines)]
+    joined = _literal(spark, whole_ones).withColumn("n", F.pmod(F.xxhash64("text"), F.lit(64)))
+    return joined.unionByName(_literal(spark, others).withColumn("n", F.lit(None).cast("bigint")))
+
+
+def _texts() -> list[tuple[str, str]]:
+    """Headers and paragraphs with their family."""
+    return [(f, text) for f, texts in TEXTS.items() for text in texts] + [(UNKNOWN, text) for text in OTHER_TEXTS]
+
+
+def _identifiers() -> list[tuple[str, str]]:
+    named = [(f, name) for f, names in IDENTIFIERS.items() for name in names] + [(UNKNOWN, name) for name in OTHER_IDENTIFIERS]
+    return [(family, SPDX.format(name)) for family, name in named]
 
 
 def _built_in_plain(spark: SparkSession) -> DataFrame:
     """A few plain sentences, so that there is training without any documents."""
-    texts = ("The work is done under the terms agreed.", "A version of the text was released.", "It is available to the public.")
+    texts = (
+        "The work is done under the terms agreed.",
+        "A version of the text was released.",
+        "It is available to the public.",
+        "She asked for permission to use the room, and it was granted.",
+        "Any person may obtain a copy of the book from the library.",
+        "The software is provided by the school for the use of all students.",
+        "This program is shown on Monday, in the hope that many will see it.",
+        "You can find the file in the source of the page.",
+        "He went to the house of the author to see the work and the general conditions there.",
+        "The following list of names is in the documentation, with the source of each.",
+        "A number of other people have worked on this, without any fee.",
+    )
     return _literal(spark, [(CLASSES.index(NONE), t) for t in texts])
 
 
@@ -192,8 +248,9 @@ def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
 
 
 def findings(documents: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, version, paragraph, family, p, overlap of all paragraphs that hold a notice."""
-    rows = _with_grams(paragraphs(documents)).drop("text")
+    """doc_id, version, paragraph, family, p, overlap of all paragraphs that hold a notice; a wrapped one stands at its first line."""
+    kept = ["grams", "text", "before", "after"]
+    rows = _with_grams(paragraphs(documents))
     margin = F.col("margin")
     # A class with more than half of the probability has the largest margin.
     plain = F.element_at(margin, CLASSES.index(NONE) + 1) > F.array_max(F.slice(margin, 1, CLASSES.index(NONE))) + ODDS * classifier.temperature
@@ -204,28 +261,112 @@ def findings(documents: DataFrame, classifier: Classifier) -> DataFrame:
     best = F.array_max(known)
     at = F.array_position(known, best).cast("int")
     notices = scored.where(p_none < 0.5).select(
-        "doc_id", "version", "paragraph", "grams", best.alias("p"), F.element_at(F.array(*map(F.lit, FAMILIES)), at).alias("likely")
+        "doc_id", "version", "paragraph", *kept, best.alias("p"), F.element_at(F.array(*map(F.lit, FAMILIES)), at).alias("likely")
+    )
+    compared = notices.withColumn("shares", _shares(F.col("grams"))).withColumn("top", F.array_max("shares"))
+    own = F.array_max(F.filter("shares", lambda t: t["family"] == F.col("likely")))
+    compared = compared.withColumn("own", own).withColumn("overlap", F.col("own.share"))
+    # Of templates that are held alike the longest counts.
+    rank = lambda t: F.struct(F.col(t)["share"], F.col(t)["size"])
+    sure = (F.col("p") >= LEAST_PROBABILITY) & (F.col("overlap") >= LEAST_OVERLAP) & (rank("own") >= rank("top")) & ~_tied()
+    named = F.col("top.whole") & (F.col("top.share") == 1)
+    family = F.when(named, F.col("top.family")).when(sure, F.col("likely")).otherwise(UNKNOWN)
+    overlap = F.when(named, F.col("top.share")).otherwise(F.col("overlap"))
+    # Words of plain paragraphs that notices stood among in the training can look like a notice too.
+    told = F.size(F.array_intersect("grams", F.split(F.lit("|".join(classifier.telling)), "[|]")))
+    speaks = F.arrays_overlap("grams", F.array(*map(F.lit, CUES))) | (told >= LEAST_TELLING)
+    alone = staged(
+        compared.select("doc_id", "version", "paragraph", family.alias("family"), "p", overlap.alias("overlap"), *kept)
+        .where((F.col("family") != UNKNOWN) | speaks)
+        .dropDuplicates(["doc_id", "version", "paragraph"]),
+        "licence-alone",
     )
-    compared = notices.withColumn("overlap", _overlap(F.col("grams"), F.col("likely")))
-    sure = (F.col("p") >= LEAST_PROBABILITY) & (F.col("overlap") >= LEAST_OVERLAP)
-    speaks = F.arrays_overlap("grams", F.array(*map(F.lit, CUES)))
-    return compared.where(sure | speaks).select(
-        "doc_id", "version", "paragraph", F.when(sure, F.col("likely")).otherwise(UNKNOWN).alias("family"), "p", "overlap"
+    return _wrapped(documents, alone)
+
+
+def _templates() -> list[tuple[str, bool, list[str]]]:
+    """Family, whether all of it must be there, words and word pairs."""
+    texts = [(f, False, name.removeprefix("the ")) for f, names in FAMILIES.items() for name in names]
+    texts += [(f, False, text) for f, text in _texts()] + [(f, True, text) for f, text in _identifiers()]
+    out = []
+    for family, all_of_it, text in texts:
+        tokens = re.findall("[a-z0-9]+", text.lower())
+        out.append((family, all_of_it, list(dict.fromkeys(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]))))
+    return out
+
+
+def _template_column() -> Column:
+    return F.array(
+        *[
+            F.struct(F.lit(f).alias("family"), F.lit(w).alias("whole"), F.split(F.lit("|".join(g)), "[|]").alias("grams"))
+            for f, w, g in _templates()
+        ]
     )
 
 
-def _overlap(paragraph: Column, family: Column) -> Column:
-    """The largest share of the words and word pairs of a template of the family that are in the paragraph."""
+def _shares(paragraph: Column) -> Column:
+    """share, size, whole, family of each template: the share of its words and word pairs that are in the paragraph."""
 
-    def share(name: str) -> Column:
-        template = grams(words(F.lit(name.removeprefix("the "))))
-        return F.size(F.array_intersect(template, paragraph)) / F.size(template)
+    def share(t: Column) -> Column:
+        part = F.size(F.array_intersect(t["grams"], paragraph)) / F.size(t["grams"])
+        held = F.when(t["whole"] & (part < 1), 0.0).otherwise(part)
+        return F.struct(held.alias("share"), F.size(t["grams"]).alias("size"), t["whole"].alias("whole"), t["family"].alias("family"))
 
-    chosen = F.lit(0.0)
-    for name, templates in FAMILIES.items():
-        shares = [share(t) for t in templates]
-        chosen = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(chosen)
-    return chosen
+    return F.transform(_template_column(), share)
+
+
+def _wrapped(documents: DataFrame, alone: DataFrame) -> DataFrame:
+    """`alone` with lines of unknown licences taken together where that gives a family.
+
+    Taken together are lines of unknown licences that are next to each other or have one line between
+    them, and the lines around, up to lines that hold nothing or are of a family. The notice then
+    stands at the first line of an unknown licence; the other ones of it that are mostly of texts of
+    the family are parts of it.
+    """
+    result = ["doc_id", "version", "paragraph", "family", "p", "overlap"]
+    is_unknown, empty = F.col("family") == UNKNOWN, F.lit("")
+    in_order = Window.partitionBy("doc_id", "version").orderBy("paragraph")
+
+    def beside(step: Column, text: str) -> Column:
+        """The line beside, empty where it is of a family."""
+        away = F.lag if text == "before" else F.lead
+        named = (away("paragraph").over(in_order) == F.col("paragraph") + step) & (away("family").over(in_order) != UNKNOWN)
+        return F.struct((F.col("paragraph") + step).alias("at"), F.when(named, empty).otherwise(F.col(text)).alias("text"))
+
+    gap = F.col("paragraph") - F.lag("paragraph").over(in_order)
+    joins = (F.lag("family").over(in_order) == UNKNOWN) & ((gap == 1) | ((gap == 2) & (F.trim("before") != "")))
+    here = F.struct(F.col("paragraph").alias("at"), "text")
+    placed = alone.withColumn("lines", F.array(beside(F.lit(-1), "before"), here, beside(F.lit(1), "after"))).withColumn(
+        "starts", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
+    )
+    placed = placed.withColumn("block", F.sum("starts").over(in_order)).where(is_unknown)
+    blocks = placed.groupBy("doc_id", "version", "block").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("paragraph", "p", "overlap", "grams"))).alias("members"),
+    )
+    text = F.array_join(F.transform(F.filter("lines", lambda x: F.trim(x["text"]) != ""), lambda x: x["text"]), " ")
+    blocks = blocks.withColumn("tokens", words(text)).withColumn("shares", _shares(grams(F.col("tokens")))).drop("tokens", "lines")
+    blocks = blocks.withColumn("top", F.array_max("shares")).withColumn("tied", _tied()).drop("shares")
+    found = (F.col("top.share") >= LEAST_OVERLAP) & (F.col("top.family") != UNKNOWN) & ~F.col("tied")
+    of_family = F.flatten(F.transform(F.filter(_template_column(), lambda t: t["family"] == F.col("top.family")), lambda t: t["grams"]))
+    blocks = blocks.withColumn("texts", F.when(found, F.array_distinct(of_family)).otherwise(F.array().cast("array<string>")))
+    parts = F.filter("members", lambda m: 2 * F.size(F.array_intersect(m["grams"], F.col("texts"))) >= F.size(m["grams"]))
+    rows = blocks.withColumn("parts", F.transform(parts, lambda m: m["paragraph"])).select(
+        "doc_id", "version", "top", "parts", F.explode("members").alias("member")
+    )
+    at = F.col("member.paragraph")
+    first = F.coalesce(at == F.array_min("parts"), F.lit(False))
+    rows = rows.where(first | ~F.array_contains("parts", at)).select(
+        "doc_id", "version", at.alias("paragraph"), F.when(first, F.col("top.family")).otherwise(UNKNOWN).alias("family"),
+        F.col("member.p").alias("p"), F.when(first, F.col("top.share")).otherwise(F.col("member.overlap")).alias("overlap"),
+    )
+    return alone.where(~is_unknown).select(result).unionByName(rows)
+
+
+def _tied() -> Column:
+    """Whether templates of several families are held alike, so that the text does not tell them apart."""
+    best = F.filter("shares", lambda t: (t["share"] == F.col("top.share")) & (t["size"] == F.col("top.size")))
+    return F.size(F.array_distinct(F.transform(best, lambda t: t["family"]))) > 1
 
 
 def scan(documents: DataFrame, classifier: Classifier | None = None) -> DataFrame:
