@@ -1,4 +1,5 @@
 import itertools
+import sys
 import zlib
 from collections import defaultdict
 
@@ -14,6 +15,7 @@ from triptych.llm.packing import WordEncoder, closest_sum, fill_windows, pack
 FILE = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(FILE)
 ENCODER = WordEncoder(FILE, remembered=50)
+FRESH = WordEncoder(FILE)
 SCHEMA = "doc_id bigint, text string, start int, bucket string"
 PARTS = ["The", "word,", "ÉTÉ", "don't", "a's.", "...", "!!", " ", "  ", "\n", "\t", " ", "\x1c", "́", "ΣΑΣ.", "x<|endoftext|>", "42", "İ", "_", "'s", "A1.", "»"]
 
@@ -26,6 +28,24 @@ def test_ids_are_those_of_the_tokenizer(parts):
     assert got == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_letter_beside_punctuation():
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    for shape in ("{}.", "a{}?!", "{}\u0301.", "x.{}'s", "{0}{0},"):
+        words = [shape.format(c) for c in letters]
+        for first in range(0, len(words), 20_000):
+            part = words[first : first + 20_000]
+            want = PLAIN.encode_batch(part, add_special_tokens=False)
+            wrong = [w for w, e in zip(part, want) if np.frombuffer(FRESH.ids(w), "<u4").tolist() != e.ids]
+            assert wrong == []
+
+
+@pytest.mark.parametrize("text", ["বড়়. বড়", "क़, ख़!", "שּׁ.", "İ... İstanbul'da.", "ড়।"])
+def test_digest_of_letters_that_end_in_marks(spark, text):
+    row = pack(spark.createDataFrame([(1, text, 0, "")], SCHEMA), FILE).first()
+    ids = [*PLAIN.encode(text, add_special_tokens=False).ids, 2]
+    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=4), st.integers(0, 60))
 def test_closest_sum_is_the_best(held, capacity):
     chosen = closest_sum(sorted(held, reverse=True), held, capacity)

@@ -42,13 +42,14 @@ class WordEncoder:
     """Ids of texts by a tokenizer that never joins characters across white space.
 
     Ids of words are remembered, up to a bound. Lower-casing ASCII letters, and cutting a run of
-    punctuation off a word that ends in a letter before it, give the same ids for this tokenizer,
-    which makes most words known ones. Unknown words of small Latin letters are encoded together:
+    punctuation off a word that ends in a letter before it once normalised, give the same ids for
+    this tokenizer, which makes most words known ones. Unknown words of small Latin letters are encoded together:
     each is one word to the tokenizer, and ends with the next id of a word's end.
     """
 
     def __init__(self, file: str, remembered: int = REMEMBERED_WORDS):
         self.tokenizer = Tokenizer.from_file(file)
+        self.normalise = self.tokenizer.normalizer.normalize_str
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -68,7 +69,7 @@ class WordEncoder:
         return b"".join(found)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        parts = {word: _parts(word) for word in words}
+        parts = {word: self._parts(word) for word in words}
         unknown = {part for some in parts.values() for part in some if part not in self.known}
         together = [part for part in unknown if PLAIN_WORD(part)]
         fresh = self._encode_together(together)
@@ -97,16 +98,22 @@ class WordEncoder:
     def _encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-
-def _parts(word: str) -> list[str]:
-    """Parts of a word whose ids follow each other."""
-    if "|>" in word:  # it may hold a special token
-        return [word]
-    core = word.rstrip(string.punctuation)
-    rest = []
-    if len(core) < len(word) and core[-1:].isalpha():
-        rest, word = [word[len(core) :]], core
-    return [word.lower() if word.isascii() else word, *rest]
+    def _parts(self, word: str) -> list[str]:
+        """Parts of a word whose ids follow each other."""
+        if "|>" in word:  # it may hold a special token
+            return [word]
+        core = word.rstrip(string.punctuation)
+        rest = []
+        if len(core) < len(word) and self._ends_in_letter(core):
+            rest, word = [word[len(core) :]], core
+        return [word.lower() if word.isascii() else word, *rest]
+
+    def _ends_in_letter(self, core: str) -> bool:
+        """Whether the core still ends in a letter once normalised: some letters end in a mark then,
+        which the tokenizer joins to the punctuation that follows."""
+        if core.isascii():
+            return core[-1:].isalpha()
+        return self.normalise(core)[-1:].isalpha()
 
 
 def _blocks(text: str) -> Iterator[str]:
