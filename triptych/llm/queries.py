@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triptych.llm import embeddings, exact_dedup, licences, line_dedup, minhash, mixing, packing, quality, secrets, substring_dedup
+from triptych.llm import (
+    embeddings,
+    exact_dedup,
+    licences,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    vector_codes,
+    warc,
+    whitening,
+)
 from triptych.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +74,35 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, folder, "embeddings"))
+    parts = F.arrays_zip("whitened", "explained")
+    return whitened.select(
+        "vec_id", "n", F.col("deviation").cast("bigint").alias("deviation"), "identity_error", F.posexplode(parts).alias("at", "part")
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error"
+    )
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"))
+    return warc.read_archives(archives, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes, codebooks = vector_codes.compress(table(spark, folder, "embeddings"), keep=("label",))
+    digest = F.sha2(F.lit(vector_codes.codebook_text(codebooks)), 256)
+    return vector_codes.with_label_error(codes, "label").select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        F.col("label_error").cast("bigint").alias("label_error"),
+        digest.alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
@@ -71,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_licences": op10_licences,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -79,4 +125,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_embeddings": embeddings.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
