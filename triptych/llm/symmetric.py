@@ -20,7 +20,12 @@ def leading_eigenpairs(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.n
 
     The entry of a vector that is largest in size is positive.
     """
-    diagonal, beside, reflectors = tridiagonal(np.asarray(matrix, dtype=np.float64))
+    matrix = np.asarray(matrix, dtype=np.float64)
+    size = float(np.abs(matrix).max(initial=0.0))
+    if size == 0:
+        return np.zeros(count), np.eye(len(matrix), count)
+    # In units of its largest entry neither very large nor very small numbers run out of range.
+    diagonal, beside, reflectors = tridiagonal(matrix / size)
     values = largest_eigenvalues(diagonal, beside, count)
     vectors = tridiagonal_vectors(diagonal, beside, values)
     for k in reversed(range(reflectors.shape[1])):
@@ -28,7 +33,7 @@ def leading_eigenpairs(matrix: np.ndarray, count: int) -> tuple[np.ndarray, np.n
         vectors -= 2 * np.outer(v, v @ vectors)
     vectors /= np.sqrt((vectors * vectors).sum(axis=0))
     top = np.abs(vectors).argmax(axis=0)
-    return values, vectors * np.where(vectors[top, np.arange(len(values))] < 0, -1.0, 1.0)
+    return values * size, vectors * np.where(vectors[top, np.arange(len(values))] < 0, -1.0, 1.0)
 
 
 def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
