@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,7 +31,7 @@ def test_ids_are_those_of_the_tokenizer(parts):
 
 def test_ids_of_every_letter_beside_punctuation():
     letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
-    for shape in ("{}.", "a{}?!", "{}\u0301.", "x.{}'s", "{0}{0},"):
+    for shape in ("{}.", "a{}?!", "{0}\u0301.{0},"):
         words = [shape.format(c) for c in letters]
         for first in range(0, len(words), 20_000):
             part = words[first : first + 20_000]
@@ -39,6 +40,12 @@ def test_ids_of_every_letter_beside_punctuation():
             assert wrong == []
 
 
+def test_ids_of_whole_documents(folder):
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    for text in filter(None, texts):
+        assert np.frombuffer(FRESH.ids(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["বড়়. বড়", "क़, ख़!", "שּׁ.", "İ... İstanbul'da.", "ড়।"])
 def test_digest_of_letters_that_end_in_marks(spark, text):
     row = pack(spark.createDataFrame([(1, text, 0, "")], SCHEMA), FILE).first()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ BUCKET_PIECES = 20_000
 REMEMBERED_WORDS = 800_000
 LONGEST_REMEMBERED = 64
 # Words of small letters up to U+00FF, which the tokenizer's normalisation leaves as they are.
-PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+PLAIN_LETTERS = [c for c in map(chr, range(0x100)) if c.isalpha() and c == c.lower() and c not in "\xaa\xb5\xba"]
+PLAIN_WORD = re.compile(f"[{''.join(PLAIN_LETTERS)}]+").fullmatch
 TEXT_BLOCK = 1 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -43,18 +45,18 @@ class WordEncoder:
 
     Ids of words are remembered, up to a bound. Lower-casing ASCII letters, and cutting a run of
     punctuation off a word that ends in a letter before it once normalised, give the same ids for
-    this tokenizer, which makes most words known ones. Unknown words of small Latin letters are encoded together:
-    each is one word to the tokenizer, and ends with the next id of a word's end.
+    this tokenizer, which makes most words known ones. Unknown words of small Latin letters go to its model alone.
     """
 
     def __init__(self, file: str, remembered: int = REMEMBERED_WORDS):
         self.tokenizer = Tokenizer.from_file(file)
-        self.normalise = self.tokenizer.normalizer.normalize_str
+        # Characters that words end in, and whether they stay letters.
+        self.letters: dict[str, bool] = {}
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # The model sees the bytes of a word, each as a character.
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytes_of = str.maketrans({letter: split(letter)[0][0] for letter in PLAIN_LETTERS})
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the whole text."""
@@ -69,13 +71,18 @@ class WordEncoder:
         return b"".join(found)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        parts = {word: self._parts(word) for word in words}
+        plain = set(filter(PLAIN_WORD, words))
+        parts = {word: self._parts(word) for word in words - plain}
         unknown = {part for some in parts.values() for part in some if part not in self.known}
-        together = [part for part in unknown if PLAIN_WORD(part)]
-        fresh = self._encode_together(together)
-        for part in unknown:
-            if part not in fresh:
-                fresh[part] = self._encode(part)
+        plain.update(filter(PLAIN_WORD, unknown))
+        # To the tokenizer such a word is one word that normalisation leaves as it is, so its model is enough.
+        tokenize, table = self.tokenizer.model.tokenize, self.bytes_of
+        fresh = {}
+        for word in plain:
+            ids = [token.id for token in tokenize(word.translate(table))]
+            fresh[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for part in unknown - plain:
+            fresh[part] = self._encode(part)
         for word, some in parts.items():
             if word not in fresh:
                 fresh[word] = b"".join([fresh[p] if p in fresh else self.known[p] for p in some])
@@ -84,17 +91,6 @@ class WordEncoder:
         self.known.update((word, ids) for word, ids in fresh.items() if len(word) <= LONGEST_REMEMBERED)
         return fresh
 
-    def _encode_together(self, words: list[str]) -> dict[str, bytes]:
-        if not words:
-            return {}
-        encoded = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ids = np.array(encoded, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("a word is not one word to the tokenizer")
-        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return {word: data[first:end] for word, first, end in zip(words, cuts, cuts[1:])}
-
     def _encode(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -111,9 +107,10 @@ class WordEncoder:
     def _ends_in_letter(self, core: str) -> bool:
         """Whether the core still ends in a letter once normalised: some letters end in a mark then,
         which the tokenizer joins to the punctuation that follows."""
-        if core.isascii():
-            return core[-1:].isalpha()
-        return self.normalise(core)[-1:].isalpha()
+        last = core[-1:]
+        if last not in self.letters:
+            self.letters[last] = last.isalpha() and self.tokenizer.normalizer.normalize_str(last)[-1:].isalpha()
+        return self.letters[last]
 
 
 def _blocks(text: str) -> Iterator[str]:
