@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from triptych.operators.sampling import seeded_sample
 from triptych.sources import feedback_log, tables, vectors
 from triptych.staging import shared_dir, staged
 
@@ -45,6 +46,61 @@ def test_source_order_follows_the_file(spark, tmp_path):
     assert [r.v for r in df.orderBy("row_id").collect()] == [str(i) for i in range(500)]
 
 
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    for name, first in (("b", 300), ("a", 0), ("c", 500)):
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{i}\n" for i in range(first, first + (300, 200, 0)["abc".index(name)])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("200", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            df = tables.with_source_order(tables.read_csv(spark, str(tmp_path), multiline=None))
+            assert df.columns == ["v", "row_id"]
+            assert sorted((r.row_id, int(r.v)) for r in df.collect()) == [(i, i) for i in range(500)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_breaks_in_fields_are_noticed(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x ""y"""\n2,\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert not tables.holds_line_breaks(spark, str(tmp_path / "plain.csv"))
+    assert tables.holds_line_breaks(spark, str(tmp_path / "broken.csv"))
+    read = tables.read_csv(spark, str(tmp_path / "broken.csv"), multiline=None)
+    assert [tuple(r) for r in read.collect()] == [("1", "x\ny"), ("2", "z")]
+
+
+def test_plain_files_are_split(spark, tmp_path):
+    (tmp_path / "city.csv").write_text("Country,City\n" + "".join(f"na,town {i}\n" for i in range(5000)), encoding="latin-1")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = tables.read_csv(spark, str(tmp_path / "city.csv"), ["City"], encoding="ISO-8859-1", multiline=None)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_schema_goes_by_the_names_of_the_header(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("lang,id,text\nen,1,hello\nde,x,\nfr,,3\n")
+    df = tables.load_table(spark, str(tmp_path / "t.csv"), "id bigint, text string, lang string, score double", format="csv", rescued="_rescued")
+    got = sorted(map(tuple, df.collect()), key=str)
+    assert got == [(1, "hello", "en", None, None), (None, "3", "fr", None, None), (None, None, "de", None, {"id": "x"})]
+    assert [tuple(r) for r in tables.rescued_counts(df, "_rescued").collect()] == [("id", 1)]
+
+
+def test_files_with_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,x\n")
+    (tmp_path / "b.csv").write_text("text,id\ny,2\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path), schema="id bigint, text string", multiline=False).collect()
+
+
+def test_draws_need_a_plain_key(spark):
+    df = spark.range(3).select(F.struct("id").alias("k"))
+    with pytest.raises(ValueError):
+        seeded_sample(df, 1, "k")
+
+
 def test_vectors_round_trip_and_stale_keys(spark, tmp_path):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "item_id bigint, embedding array<float>")
     vectors.save_vectors(df, str(tmp_path / "v"))

@@ -126,6 +126,15 @@ PLACE_COLUMNS = (
     "text_representation",
 )
 
+# --- keys and titles ----------------------------------------------------------------------------
+# Columns with the key of an item, in order of preference, and columns that name an item.
+SOURCE_KEYS = {"movie": ("id",), "book": ("book_id", "id")}
+TITLE_COLUMNS = {
+    "movie": ("title", "original_title"),
+    "book": ("title", "original_title"),
+    "music": ("track_name", "track_id"),
+}
+
 # --- sizes of the prepared tables ---------------------------------------------------------------
 TARGET_ROWS = {"movie": 1000, "book": 2000, "music": 2000, "destination": 1000}
 

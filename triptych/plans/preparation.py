@@ -1,7 +1,8 @@
 """From raw item tables to processed tables: clean, score, sample, describe, emphasise.
 
-Every job takes raw tables with a `row_id` that gives their source order. The cleaned table is
-written once in between, since scores and samples read it several times.
+Every job takes raw tables with a `row_id` that gives their source order; an `item_id`, where there
+is one, goes through to the processed table. The cleaned table is written once in between, since
+scores and samples read it several times.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ from triptych.staging import staged
 def finish(
     sampled: DataFrame, text: str, wanted: Sequence[str], use_tfidf: bool = True, **settings
 ) -> DataFrame:
-    """Emphasise the texts of a written sample and keep the processed columns.
+    """Emphasise the texts of a written sample and keep the processed columns, item_id first if there is one.
 
     An item drawn by two strata counts as two texts, so copies get a key of their own.
     """
+    wanted = ("item_id", *wanted)
     if not use_tfidf:
         return keep_columns(sampled.withColumn("text_representation", F.col(text)), wanted)
     keyed = sampled.withColumn("_copy", F.concat_ws("\n", F.col("row_id").cast("string"), "_stratum"))
@@ -149,7 +151,7 @@ def prepare_music(
 
 def clean_places(raw: DataFrame, required: Sequence[str] = ("latitude",), fill_population: bool = True) -> DataFrame:
     """Named places with coordinates, the most populous per name and country."""
-    df = lower_names(raw.select(*[c for c in raw.columns if c in fixed.PLACE_SOURCE], "row_id"))
+    df = lower_names(raw.select(*[c for c in raw.columns if c in (*fixed.PLACE_SOURCE, "row_id", "item_id")]))
     df = df.withColumnsRenamed({"country": "country_code", "accentcity": "city_display"})
     df = df.withColumns({c: strip(F.col(c)) for c in ("city", "city_display", "country_code", "region")})
     df = coerce_numeric(df, fixed.PLACE_NUMBERS)
