@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triptych.functions.vectors import unit
+from triptych.operators.encode import Encoder, embed_texts
+from triptych.sources import versions
 from triptych.sources.tables import load_first, write_table
 
 VECTOR_SCHEMA = "item_id bigint, embedding array<float>"
@@ -51,3 +53,41 @@ def stale_keys(vectors: DataFrame, saved: DataFrame, key: str = "item_id") -> Da
         .select(key, reason.alias("reason"))
         .where(F.col("reason").isNotNull())
     )
+
+
+def refresh_vectors(
+    items: DataFrame, folder: str, make_encoder: Callable[[], Encoder], encoder: str, text: str, key: str = "item_id"
+) -> DataFrame:
+    """Bring the saved vectors of items up to their texts; returns key and change (new, changed, gone).
+
+    Only new and changed texts are encoded, all of them if the saved ones are from another `encoder`.
+    A missing text counts as empty. Of rows with the same key the text with the smallest digest
+    counts; rows without key are left out.
+    """
+    texts = items.select(key, F.coalesce(text, F.lit("")).alias("_text"))
+    marked = texts.withColumn("fingerprint", versions.fingerprint(F.col("_text")))
+
+    def encoded(keys: DataFrame) -> DataFrame:
+        wanted = marked.join(keys, key, "left_semi").groupBy(key).agg(F.min_by("_text", "fingerprint").alias("_text"))
+        return embed_texts(wanted, key, "_text", make_encoder)
+
+    # Only digests are compared, so texts that stay are not shuffled.
+    now = marked.groupBy(key).agg(F.min("fingerprint").alias("fingerprint"))
+    kind = items.schema[key].dataType.simpleString()
+    return versions.refresh(now, folder, encoded, f"`{key}` {kind}, embedding array<float>", encoder, key)
+
+
+def refresh_search_table(vectors: DataFrame, folder: str, key: str = "item_id") -> DataFrame:
+    """Bring the saved unit vectors up to the vectors, one per key; returns key and change."""
+    marked = vectors.select(key, "embedding", versions.fingerprint(F.col("embedding")).alias("fingerprint"))
+
+    def normalised(keys: DataFrame) -> DataFrame:
+        return vectors.join(keys, key, "left_semi").select(key, unit(F.col("embedding")).alias("embedding"))
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return versions.refresh(marked, folder, normalised, f"`{key}` {kind}, embedding array<double>", "unit", key)
+
+
+def current_vectors(spark: SparkSession, folder: str, schema: str = VECTOR_SCHEMA) -> DataFrame:
+    """The newest version of saved vectors."""
+    return versions.read_version(spark, folder, schema)
