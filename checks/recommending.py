@@ -10,6 +10,7 @@ from checks.cleaning import BADGE, MAPS, WIKI
 from checks.registry import query
 from triptych.functions.vectors import unit
 from triptych.operators import audit, fusion, lookup, similarity
+from triptych.operators.fuzzy import fuzzy_titles as nearest
 from triptych.operators.suggest import suggest_titles as suggest
 from triptych.plans import recommend
 
@@ -120,6 +121,98 @@ def suggest_titles(spark, folder):
     return suggest(asked, bind.titled_items(spark, folder), ["title", "original_title"])
 
 
+PATTERNS = ("^{0}", "{0}.*{1}$", "{0} ?.{2}", "[{0}]+ {1}", "{0}|{1}", "{0} (", r"{0}\s\w*{2}")
+
+
+@query(
+    "suggest_patterns",
+    f"""WITH {bind.LOOKUP},
+        words AS (
+          SELECT c_custkey AS request_id, lower(split_part(p_name, ' ', 1)) AS w0, lower(split_part(p_name, ' ', 2)) AS w1,
+                 CASE c_custkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'book' ELSE 'music' END AS media_type
+          FROM customer JOIN part ON p_partkey = (c_custkey * 7) % (SELECT count(*) FROM part)),
+        asked AS (
+          SELECT request_id, media_type, CASE request_id % 7 WHEN 0 THEN '^' || w0 WHEN 1 THEN w0 || '.*' || w1 || '$'
+            WHEN 2 THEN w0 || ' ?.' || substr(w1, 2) WHEN 3 THEN '[' || w0 || ']+ ' || w1 WHEN 4 THEN w0 || '|' || w1
+            WHEN 6 THEN w0 || '\s\w*' || substr(w1, 2) END AS pattern
+          FROM words),
+        matches AS (
+          SELECT request_id, title, min(item_id) AS first_id
+          FROM (SELECT DISTINCT media_type, pattern FROM asked WHERE pattern IS NOT NULL) p
+          JOIN titled t ON t.media_type = p.media_type
+            AND (regexp_matches(lower(title), pattern) OR regexp_matches(lower(original_title), pattern))
+          JOIN asked a ON a.media_type = p.media_type AND a.pattern = p.pattern
+          GROUP BY request_id, title)
+        SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY first_id) AS rank, title
+        FROM matches QUALIFY rank <= 5""",
+)
+def suggest_patterns(spark, folder):
+    """Patterns of words of titles; some need no trigram, some are no pattern."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_name")
+    k, words = F.col("c_custkey"), F.split(F.lower("p_name"), " ")
+    said = {"{0}": words[0], "{1}": words[1], "{2}": F.substr(words[1], F.lit(2))}
+    typed = F.lit(None).cast("string")
+    for i, pattern in enumerate(PATTERNS):
+        text = F.lit(pattern)
+        for mark, value in said.items():
+            text = F.replace(text, F.lit(mark), value)
+        typed = F.when(k % len(PATTERNS) == i, text).otherwise(typed)
+    asked = (
+        table(spark, folder, "customer")
+        .join(parts, F.pmod(k * 7, F.lit(parts.count())) == F.col("p_partkey"))
+        .select(k.alias("request_id"), bind.medium("c_custkey").alias("media_type"), typed.alias("query"))
+    )
+    return suggest(asked, bind.titled_items(spark, folder), ["title", "original_title"], regex=True)
+
+
+@query(
+    "fuzzy_titles",
+    f"""WITH {bind.LOOKUP},
+        asked AS (
+          SELECT c_custkey AS request_id,
+                 CASE c_custkey % 3 WHEN 0 THEN 'movie' WHEN 1 THEN 'book' ELSE 'music' END AS media_type,
+                 CASE c_custkey % 6 WHEN 0 THEN title WHEN 1 THEN substr(title, 2)
+                   WHEN 2 THEN substr(title, 1, 4) || '##' || substr(title, 5) WHEN 3 THEN substr(title, 1, length(title) - 2)
+                   WHEN 4 THEN substr(title, 1, 3) || 'x' || substr(title, 5, length(title) - 5) ELSE '###' || title END AS typed
+          FROM customer JOIN (
+            SELECT p_partkey, lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand || ' ' || p_type END) AS title FROM part) p
+            ON p_partkey = (c_custkey * 7) % (SELECT count(*) FROM part)),
+        missing AS (
+          SELECT DISTINCT media_type, trim(typed) AS typed_key FROM asked
+          WHERE trim(typed) <> '' AND NOT EXISTS (
+            SELECT * FROM lookup l WHERE l.media_type = asked.media_type AND title_key = trim(typed))),
+        near AS (
+          SELECT m.media_type, typed_key, title_key, item_id, levenshtein(typed_key, title_key) AS distance
+          FROM missing m JOIN lookup l ON l.media_type = m.media_type WHERE levenshtein(typed_key, title_key) <= 2),
+        best AS (
+          SELECT *, row_number() OVER (PARTITION BY media_type, typed_key ORDER BY distance, title_key) AS rank FROM near
+          QUALIFY rank <= 3)
+        SELECT request_id, media_type, rank, title_key, item_id, distance
+        FROM asked JOIN best USING (media_type) WHERE trim(typed) = typed_key""",
+)
+def fuzzy_titles(spark, folder):
+    """Titles with letters left out, put in or replaced; some right, some too far off."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    other = F.concat_ws(" ", "p_brand", "p_type")
+    parts = table(spark, folder, "part").select(p, F.when(p % 2 == 0, F.col("p_name")).otherwise(other).alias("t"))
+    size = F.length("t")
+    cut = lambda first, count=None: F.substr("t", F.lit(first), F.lit(1000) if count is None else count)
+    typed = (
+        F.when(k % 6 == 0, F.col("t"))
+        .when(k % 6 == 1, cut(2))
+        .when(k % 6 == 2, F.concat(cut(1, F.lit(4)), F.lit("##"), cut(5)))
+        .when(k % 6 == 3, cut(1, size - 2))
+        .when(k % 6 == 4, F.concat(cut(1, F.lit(3)), F.lit("x"), cut(5, size - 5)))
+        .otherwise(F.concat(F.lit("###"), "t"))
+    )
+    asked = (
+        table(spark, folder, "customer")
+        .join(parts, F.pmod(k * 7, F.lit(parts.count())) == p)
+        .select(k.alias("request_id"), bind.medium("c_custkey").alias("media_type"), F.upper(typed).alias("title"))
+    )
+    return nearest(asked, bind.lookup(spark, folder))
+
+
 # --- search -------------------------------------------------------------------------------------
 @query(
     "cosine_topk",

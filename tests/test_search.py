@@ -1,5 +1,6 @@
 """Similarity search, lookup, fusion, suggestions and recommendations."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from triptych.operators import audit, encode, suggest
 from triptych.operators.lookup import title_lookup
+from triptych.operators.patterns import matching, needed_trigrams, title_postings
 from triptych.operators.similarity import cosine_topk
 from triptych.plans import recommend
 from triptych.sources.vectors import search_table
@@ -206,7 +208,7 @@ def test_suggestions_are_literal_unless_asked_for_patterns(world):
     assert one("movie", "up!") == ["Up"]
     assert one("movie", "u.") == [] and one("movie", "u.", regex=True) == ["Up"]
     assert one("movie", "harry (") == []
-    with pytest.raises(re.error):
+    with pytest.raises(ValueError):
         one("movie", "harry (", regex=True)
     assert one("movie", "  ") == [] and one("game", "up") == []
     assert one("movie", "e", 1) == [" Heat "]
@@ -214,7 +216,7 @@ def test_suggestions_are_literal_unless_asked_for_patterns(world):
     assert one("music", "t2") == []
 
 
-@pytest.mark.parametrize("settings", [{}, {"broadcast_queries": 0, "block_rows": 2}])
+@pytest.mark.parametrize("settings", [{}, {"broadcast_queries": 0, "part_rows": 2}])
 @pytest.mark.parametrize("regex", [False, True])
 def test_suggestions_for_many_requests_equal_single_ones(spark, world, settings, regex):
     items = world[0]
@@ -227,6 +229,52 @@ def test_suggestions_for_many_requests_equal_single_ones(spark, world, settings,
         assert many == single
 
 
+PATTERNS = [
+    "hea", "^heat", "h.at", "he?at", "hea*t", "heat|up", "(heat)?", "un(der)? the", "[hu]eat", "heat[ed]*", "x{0,2}heat", "hea{1}t", "he\\w+t",
+    r"\bheat\b", r"\qheat\e", r"hea\x74", r"\(19\d\d\)", "harry (", "the +sea", "the sea$", "u.der", "(?i)heat", "s(e|a)a", "(a)(b)?c", "", "a**", "sea.?$", "th[[a-e]&&[e]] sea",
+]
+
+
+def test_patterns_through_trigrams(spark):
+    """Against each title by itself."""
+    titles = ["Heat", "heat (1995)", "Up", "Under the Sea", "Un the  sea", "over the sea", "h\x00at", "Heaat", "ht", "x heat", "saa", "ac", "", None, "THE SEA?"]
+    items = spark.createDataFrame([("movie", t, None, i) for i, t in enumerate(titles)], "media_type string, title string, original_title string, row_id bigint")
+    requests = spark.createDataFrame([(i, "movie", p) for i, p in enumerate(PATTERNS)], "request_id bigint, media_type string, query string")
+    got = suggest.suggest_titles(requests, items, SUGGEST, 50, regex=True).collect()
+    for i, pattern in enumerate(PATTERNS):
+        many = [r.title for r in sorted((r for r in got if r.request_id == i), key=lambda r: r["rank"])]
+        try:
+            single = [r.title for r in suggest.suggest_for_one(items, SUGGEST, "movie", pattern, 50, regex=True).collect()]
+        except ValueError:
+            single = []
+        assert many == single, pattern
+
+
+def test_trigrams_that_a_pattern_needs(spark):
+    needed = lambda p: spark.createDataFrame([(p,)], "p string").select(needed_trigrams(F.col("p")).alias("g")).first().g
+    assert needed("heat") == ["hea", "eat"] and needed("^the .*sea+s$") == ["the", "he ", "sea"]
+    assert needed("colou?r") == ["col", "olo"] and needed("abcd{2}efg") == ["abc", "efg"]
+    for pattern in ("heat|up", r"\x41bcd", "(?x)a b c d", r"\Qabcd", "ab", "a.b.c", "(abc)"):
+        assert needed(pattern) == []
+
+
+def test_patterns_scan_no_titles(spark):
+    """A pattern that needs trigrams meets only titles that hold the rarest of them."""
+    items = spark.range(2000).select(F.lit("movie").alias("media_type"), F.concat(F.lit("story number "), "id").alias("title"), F.col("id").alias("row_id"))
+    stock = items.withColumn("text0", F.lower("title"))
+    queries = spark.createDataFrame([(1, "movie", "story.*199\\d")], "query_id bigint, media_type string, query string")
+    assert matching(queries, stock, 1).count() == 10
+    counted = title_postings(stock.withColumn("stock_id", F.col("row_id")), 1).where("gram = '199'").count()
+    assert counted < 50
+
+
+def test_row_ids_of_any_kind_order_suggestions(spark):
+    items = spark.createDataFrame([("movie", "heat", ("b", 1)), ("movie", "heated", ("a", 7))], "media_type string, title string, row_id struct<f: string, n: int>")
+    requests = spark.createDataFrame([(1, "movie", "hea.")], "request_id bigint, media_type string, query string")
+    got = suggest.suggest_titles(requests, items, SUGGEST, regex=True).collect()
+    assert [r.title for r in sorted(got, key=lambda r: r["rank"])] == ["heated", "heat"]
+
+
 def test_audit_counts_what_is_wrong(spark):
     vectors = spark.createDataFrame(
         [(1, [1.0, 0.0]), (2, [0.6, 0.9]), (2, [0.0, 1.0]), (3, [1.0]), (9, None)], "item_id bigint, embedding array<float>"
@@ -269,3 +317,17 @@ def test_hashing_encoder_has_the_wanted_width(spark):
     out = {r.id: np.array(r.embedding) for r in encode.embed_texts(df, "id", "text", encode.hashing_encoder()).collect()}
     assert out[1].shape == (384,) and np.linalg.norm(out[1]) == pytest.approx(1, abs=1e-5)
     assert not out[2].any()
+
+
+def test_hashing_encoder_equals_a_loop_over_words():
+    rng = np.random.default_rng(4)
+    letters = ["a", "B", "é", "İ", "Σ", "ß", "_", "7", "٣", "中", "😀", "\0", "\n", " ", ".", "-", "\u0301", "ʼ", "\x1c"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(300)] + ["", "\0\0", "ΑΣ", "one"]
+    for some in (texts, [t for t in texts if "\0" not in t], [""], ["a b c"]):
+        got = encode.hashing_encoder(16)()(some)
+        want = np.zeros((len(some), 16))
+        for row, text in enumerate(some):
+            for word in re.findall(r"\w{2,}", text.lower()):
+                digest = hashlib.md5(word.encode()).hexdigest()
+                want[row, int(digest[:8], 16) % 16] += 1 if int(digest[8], 16) % 2 == 0 else -1
+        assert (got == want).all()

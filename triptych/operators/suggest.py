@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptych.functions.cleaning import title_key
-from triptych.operators.grid import block_against_block, collect_if_small
 from triptych.operators.lookup import MEDIA
+from triptych.operators.patterns import PART_ROWS, is_pattern, matching
 from triptych.operators.ranking import top_per_group
 from triptych.staging import staged
 
-FOUND = "query_id bigint, title string, row_id bigint"
 BROADCAST_QUERIES = 100_000
-BLOCK_ROWS = 50_000
 
 
 def suggest_for_one(
@@ -27,14 +22,14 @@ def suggest_for_one(
     """First distinct titles, in table order, of items with the typed text in any title column.
 
     Shows the first title column. Blank queries and unknown media give none. The text is taken
-    literally, or with `regex` as a pattern.
+    literally, or with `regex` as a pattern of the JVM; one that is none is an error.
     """
     columns = [t for t in titles if t in items.columns]
     wanted = query.strip().lower()
     if not wanted or media_type not in MEDIA or not columns:
         return items.sparkSession.createDataFrame([], "title string")
-    if regex:
-        re.compile(wanted)
+    if regex and not items.sparkSession.range(1).select(is_pattern(F.lit(wanted))).first()[0]:
+        raise ValueError(f"{wanted!r} is not a pattern")
     hit = lambda c: F.lower(c).rlike(wanted) if regex else F.contains(F.lower(c), F.lit(wanted))
     matches = _any([F.coalesce(hit(F.col(c)), F.lit(False)) for c in columns])
     shown = items.where((F.col("media_type") == media_type) & matches & F.col(columns[0]).isNotNull())
@@ -49,14 +44,13 @@ def suggest_titles(
     most: int = 5,
     regex: bool = False,
     broadcast_queries: int = BROADCAST_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Suggestions for a table of requests (request_id, media_type, query): request_id, rank, title.
 
     Equal queries and equal titles are searched once. Literal queries are looked up among the
-    substrings of the titles. Patterns are searched where the titles are against the broadcast
-    queries, or block against block when there are many; a task returns at most `most` titles per
-    query. `row_id` orders the titles; for patterns it is a whole number.
+    substrings of the titles; patterns (of the JVM) select titles by trigrams (`patterns.py`), and
+    texts that are no pattern have no suggestions. `row_id` orders the titles.
     """
     columns = [t for t in titles if t in items.columns]
     asked = requests.select("request_id", "media_type", title_key(F.col("query")).alias("query")).where(
@@ -71,29 +65,11 @@ def suggest_titles(
         .groupBy("media_type", "title", *[f"text{i}" for i in range(len(columns))])
         .agg(F.min("row_id").alias("row_id"))
     )
-    if not regex:
-        small = queries.count() <= broadcast_queries
-        seen = _containing(F.broadcast(queries) if small else queries, queries, stock, len(columns))
-        return _best(asked, queries, seen, most)
-    small = collect_if_small(queries, broadcast_queries)
-    if small is not None:
-        shared = stock.sparkSession.sparkContext.broadcast(small)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _first_titles(shared.value, batches, most).to_batches()
-
-        found = stock.mapInArrow(search, FOUND)
-    else:
-        found = block_against_block(
-            queries,
-            stock,
-            "query_id",
-            "row_id",
-            lambda q, t: _first_titles(q, t.to_batches(), most),
-            FOUND,
-            block_rows,
-        )
-    return _best(asked, queries, found.groupBy("query_id", "title").agg(F.min("row_id").alias("row_id")), most)
+    if regex:
+        return _best(asked, queries, matching(queries, stock, len(columns), part_rows), most)
+    small = queries.count() <= broadcast_queries
+    seen = _containing(F.broadcast(queries) if small else queries, queries, stock, len(columns))
+    return _best(asked, queries, seen, most)
 
 
 def _containing(known: DataFrame, queries: DataFrame, stock: DataFrame, texts: int) -> DataFrame:
@@ -129,48 +105,3 @@ def _any(conditions: Sequence[Column]) -> Column:
     for condition in conditions[1:]:
         met = met | condition
     return met
-
-
-def _first_titles(
-    queries: pa.Table, batches: Iterable[pa.RecordBatch], most: int
-) -> pa.Table:
-    """For each pattern the first `most` distinct titles of the batches that hold it."""
-    wanted: dict[str, dict[str, int]] = defaultdict(dict)
-    for media, text, query_id in zip(*(queries.column(c).to_pylist() for c in ("media_type", "query", "query_id"))):
-        wanted[media][text] = query_id
-    patterns = {m: [(re.compile(t), i) for t, i in texts.items()] for m, texts in wanted.items()}
-    best: dict[int, dict[str, int]] = defaultdict(dict)
-
-    def matches(media: str, text: str) -> set[int]:
-        return {i for pattern, i in patterns[media] if pattern.search(text)}
-
-    for batch in batches:
-        texts = [n for n in batch.schema.names if n.startswith("text")]
-        for row in batch.to_pylist():
-            if row["media_type"] not in wanted:
-                continue
-            hit = set().union(*(matches(row["media_type"], row[t]) for t in texts if row[t] is not None))
-            for query_id in hit:
-                titles = best[query_id]
-                at = titles.get(row["title"])
-                if at is None or row["row_id"] < at:
-                    titles[row["title"]] = row["row_id"]
-                if len(titles) > 8 * most:
-                    best[query_id] = _earliest(titles, most)
-    rows = [
-        (query_id, title, at)
-        for query_id, titles in best.items()
-        for title, at in _earliest(titles, most).items()
-    ]
-    ids, names, places = zip(*rows) if rows else ((), (), ())
-    return pa.table(
-        {
-            "query_id": pa.array(ids, pa.int64()),
-            "title": pa.array(names, pa.string()),
-            "row_id": pa.array(places, pa.int64()),
-        }
-    )
-
-
-def _earliest(titles: dict[str, int], most: int) -> dict[str, int]:
-    return dict(sorted(titles.items(), key=lambda t: (t[1], t[0]))[:most])
