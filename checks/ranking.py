@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import bind
 from checks.bind import table
 from checks.registry import query
-from triptych.operators import counting, ranking, rating, sampling, tags
+from triptych.operators import capped, counting, ranking, rating, sampling, tags
 from triptych.staging import staged
 
 # --- tags ---------------------------------------------------------------------------------------
@@ -293,7 +293,7 @@ def topn_composite(spark, folder):
         ORDER BY CASE WHEN n <= 5 THEN 0 ELSE 1 END, population DESC NULLS LAST, place_id LIMIT 150""",
 )
 def capped_topn(spark, folder):
-    picked = sampling.capped_sample(bind.places(spark, folder), ["population"], "place_id", "country", 5, 150)
+    picked = capped.capped_sample(bind.places(spark, folder), ["population"], "place_id", "country", 5, 150)
     return picked.select("place_id", "country", "population")
 
 
@@ -320,7 +320,7 @@ CAPPED = twice_capped_sql("items", "price DESC NULLS LAST, item_id", "item_id",
 
 @query("double_capped_topn", f"WITH {bind.ITEMS}, {CAPPED} SELECT item_id, brand, category, price FROM result")
 def double_capped_topn(spark, folder):
-    picked = sampling.twice_capped_sample(
+    picked = capped.twice_capped_sample(
         bind.items(spark, folder), ["price"], "item_id", ("brand", 3), ("category", 10), 100
     )
     return picked.select("item_id", "brand", "category", "price")

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from triptych.operators import ranking, sampling
+from triptych.operators import capped, ranking, sampling
+from triptych.operators.cutoffs import above_cutoffs
 from triptych.operators.quantiles import exact_quantile
 from triptych.operators.rating import rating_prior, with_popularity_boost, with_weighted_rating
 from triptych.operators.sampling import Stratum
+from triptych.staging import staged
 
 
 @pytest.mark.parametrize(
@@ -89,6 +91,35 @@ def test_stratified_sample_picks_the_best_of_each_stratum(spark, total, monkeypa
         assert len(got) == len(wanted) and {(r._stratum, r.id) for r in got} == wanted
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "missing", "few values", "text key"])
+def test_cutoffs_keep_the_best_rows_and_few_others(spark, kind):
+    rng = random.Random(7)
+    value = {
+        "spread": lambda: rng.random() * 1000 - 500, "text key": lambda: rng.random(), "ties": lambda: rng.choice([1.0, 1.0, 1.0, 2.0]) if rng.random() < 0.9 else rng.random(),
+        "missing": lambda: rng.choice([None, None, float("nan"), rng.random()]), "few values": lambda: float(rng.randrange(3)),
+    }[kind]
+    key = (lambda i: f"k{i:06}") if kind == "text key" else (lambda i: i)
+    rows = [(key(i), value(), rng.choice(["big", "big", "big", "small", "not wanted"])) for i in range(20_000)]
+    wanted = {"big": 130, "small": 700, "absent": 5}
+    df = spark.createDataFrame(rows, f"id {'string' if kind == 'text key' else 'bigint'}, score double, g string")
+    left = above_cutoffs(df, "g", "score", "id", wanted)
+    best = lambda rs, name: sorted((r for r in rs if r[2] == name), key=lambda r: (r[1] is None or r[1] != r[1], -(r[1] or 0) if r[1] == r[1] else 0, r[0]))[: wanted[name]]
+    got = [tuple(r) for r in left.collect()]
+    for name in ("big", "small"):
+        assert [r[0] for r in best(got, name)] == [r[0] for r in best(rows, name)]
+        assert sum(r[2] == name for r in got) <= 10 * wanted[name]
+    assert {r[2] for r in got} == {"big", "small"}
+
+
+def test_large_strata_are_not_sorted_as_a_whole(spark):
+    df = spark.range(300_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("score"))
+    strata = (Stratum("all", "true", 0.8), Stratum("half", "id % 2 = 0", 0.2))
+    sample = sampling.stratified_sample(df, 5000, strata, "score", "id")
+    assert sample.count() == 5000
+    narrowed = above_cutoffs(df.withColumn("g", F.lit("all")), "g", "score", "id", {"all": 4000})
+    assert 4000 <= narrowed.count() <= 16_000
+
+
 def test_fill_draws_rows_not_chosen_before(spark):
     rows, df = frame(spark)
     got = sampling.filled_sample(df, 260, STRATA, "score", "id").collect()
@@ -122,7 +153,7 @@ def test_capped_sample_equals_the_loop(spark, target, cap):
             used[row[2]] = used.get(row[2], 0) + 1
     rest = [r[0] for r in by_rank(rows) if r[0] not in picked]
     wanted = picked + rest[: target - len(picked)]
-    got = [r.id for r in sampling.capped_sample(df, ["score"], "id", "kind", cap, target).collect()]
+    got = [r.id for r in capped.capped_sample(df, ["score"], "id", "kind", cap, target).collect()]
     assert sorted(got) == sorted(wanted)
 
 
@@ -149,13 +180,43 @@ def test_twice_capped_sample_equals_the_loop(spark, seed):
     df = spark.createDataFrame(rows, "id bigint, score int, artist string, genre string")
     cap_a, cap_b, target = rng.randrange(1, 4), rng.randrange(1, 12), rng.randrange(5, 120)
     wanted = walk(rows, cap_a, cap_b, target)
-    got = sampling.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target, fill=False)
+    got = capped.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target, fill=False)
     assert sorted(r.id for r in got.collect()) == sorted(wanted)
-    filled = sampling.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target)
+    filled = capped.twice_capped_sample(df, ["score"], "id", ("artist", cap_a), ("genre", cap_b), target)
     rest = [r[0] for r in by_rank(rows) if r[0] not in wanted][: target - len(wanted)]
     assert sorted(r.id for r in filled.collect()) == sorted(wanted + rest)
 
 
+@pytest.mark.parametrize("block_rows, depth", [(7, 1), (40, 2), (90, 1)])
+def test_twice_capped_sample_in_blocks(spark, block_rows, depth):
+    """Hot groups, so that walks stop at rows that the block lacks."""
+    rng = random.Random(block_rows)
+    rows = [(i, 1000 - i if i % 3 else None, rng.choice(["hot", "hot", "", None, *"abcdef"]), rng.choice(["warm", "warm", " ", *"pqrs"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, score int, artist string, genre string")
+    for target in (9, 27):
+        got = capped.twice_capped_sample(
+            df, ["score"], "id", ("artist", 2), ("genre", 5), target, fill=False, block_rows=block_rows * target // 9, depth=depth
+        )
+        assert sorted(r.id for r in got.collect()) == sorted(walk(rows, 2, 5, target))
+
+
+def test_a_chain_is_walked_in_few_tables(spark, monkeypatch):
+    """Each row is decided by the one before it."""
+    written = []
+    monkeypatch.setattr(capped, "staged", lambda df, label: written.append(label) or staged(df, label))
+    n = 10_000
+    df = spark.range(n).select("id", (-F.col("id")).alias("score"), F.floor((F.col("id") + 1) / 2).cast("string").alias("a"), F.floor(F.col("id") / 2).cast("string").alias("b"))
+    got = capped.twice_capped_sample(df, ["score"], "id", ("a", 1), ("b", 1), n, fill=False)
+    assert sorted(r.id for r in got.collect()) == list(range(0, n, 2))
+    assert len(written) <= 20
+
+
+def test_backfill_only_when_caps_fall_short(spark):
+    _, df = frame(spark)
+    plan = lambda target: capped.capped_sample(df, ["score"], "id", "kind", 5, target)._jdf.queryExecution().executedPlan().toString()
+    assert "Anti" not in plan(20) and "Anti" in plan(200)
+
+
 def test_relaxed_filter_prefers_strict_rows(spark):
     rows = [(1, "a", 60), (2, "a", 10), (3, "b", 10), (4, "b", 70), (5, "c", None), (6, "d", 5)]
     df = spark.createDataFrame(rows, "id bigint, name string, popularity int")

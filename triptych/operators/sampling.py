@@ -1,20 +1,21 @@
-"""Stratified, seeded and capped samples."""
+"""Stratified and seeded samples."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from triptych.functions.cleaning import strip
+from triptych.operators import ranking
+from triptych.operators.cutoffs import above_cutoffs
 from triptych.operators.ranking import descending, top_per_group
 from triptych.staging import staged
 
 EXTRA = "Extra"
 SEED = "42"
-OPEN, PICKED, PASSED = 0, 1, 2
 
 
 class Stratum(NamedTuple):
@@ -39,7 +40,9 @@ def stratified_sample(
     allow_overlap: bool = True,
     label: str = "_stratum",
 ) -> DataFrame:
-    """Best rows of every stratum by `sort`, up to its share of `total`, in one pass.
+    """Best rows of every stratum by `sort`, up to its share of `total`.
+
+    Small shares take one pass; for large ones cutoffs are found first (`cutoffs.py`).
 
     Predicates may overlap. Then a row is drawn by every stratum it is among the best of, or with
     `allow_overlap=False` only competes in the first stratum that it matches.
@@ -52,6 +55,9 @@ def stratified_sample(
         placed = df.withColumn(label, F.explode(F.array_compact(F.array(*names))))
     else:
         placed = df.withColumn(label, F.coalesce(*names)).where(F.col(label).isNotNull())
+    if max(size.values()) > ranking.PICK_DIRECTLY and isinstance(df.schema[sort].dataType, T.NumericType):
+        # Only rows near the best ones are ranked; a stratum may hold any share of the table.
+        placed = above_cutoffs(placed, label, sort, key, {name: n for name, n in size.items() if n > 0})
     best = top_per_group(placed, [label], descending([sort], key), max(size.values()), key, rank="_rank")
     quota = F.coalesce(*[F.when(F.col(label) == name, F.lit(n)) for name, n in size.items()])
     return best.where(F.col("_rank") <= quota).drop("_rank")
@@ -68,7 +74,9 @@ def seeded_order(key: str, seed: str = SEED) -> list[Column]:
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: str = SEED) -> DataFrame:
-    """`n` rows picked by a hash of their key."""
+    """`n` rows picked by a hash of their key, which is a number or a text."""
+    if isinstance(df.schema[key].dataType, (T.StructType, T.ArrayType, T.MapType)):
+        raise ValueError(f"{key} is no plain value, so its text says nothing lasting about the row")
     return df.orderBy(*seeded_order(key, seed)).limit(n)
 
 
@@ -94,98 +102,6 @@ def filled_sample(
     return staged(chosen.unionByName(extra.withColumn(label, F.lit(EXTRA))), "filled")
 
 
-def capped_sample(
-    df: DataFrame, scores: Sequence[str], key: str, group: str, cap: int, target: int
-) -> DataFrame:
-    """Best `target` rows with at most `cap` per group, then the best others if too few.
-
-    Going down the ranking and skipping full groups picks exactly the first `cap` rows of every
-    group, cut at `target`.
-    """
-    order = descending(scores, key)
-    capped = top_per_group(df, [group], order, cap, key).orderBy(*order).limit(target)
-    others = leftover(df, capped, key).orderBy(*order).limit(target)
-    both = capped.withColumn("_extra", F.lit(0)).unionByName(others.withColumn("_extra", F.lit(1)))
-    return both.orderBy("_extra", *order).limit(target).drop("_extra")
-
-
-def twice_capped_sample(
-    df: DataFrame,
-    scores: Sequence[str],
-    key: str,
-    first: tuple[str, int],
-    second: tuple[str, int],
-    target: int,
-    fill: bool = True,
-) -> DataFrame:
-    """Going down the ranking, pick rows while neither of their two groups is full.
-
-    `first` and `second` are (column, cap); blank groups and absent columns have no cap. A row counts against a cap
-    only when picked, so ranks within the groups are not enough. Within one pair of groups the
-    picked rows are the first ones, at most the smaller cap, which prunes every pair before the
-    shuffle. The others are decided in rounds, all groups at once: a row is picked when it fits even
-    if all open rows before it are, and passed over when those already picked fill one of its
-    groups. The first open row of the ranking is always decided, and most rows are in few rounds.
-    With `fill`, the best other rows follow if too few.
-    """
-    (a, cap_a), (b, cap_b) = first, second
-    order = descending(scores, key)
-    narrow = df.select(key, *scores, filled_text(df, a).alias("_a"), filled_text(df, b).alias("_b"))
-    has_a, has_b = F.col("_a") != "", F.col("_b") != ""
-    pair_cap = F.when(has_a & has_b, min(cap_a, cap_b)).when(has_a, cap_a).otherwise(cap_b)
-    pairs = top_per_group(
-        narrow.where(has_a | has_b), ["_a", "_b"], order, max(cap_a, cap_b), key, rank="_place"
-    )
-    pruned = pairs.where(F.col("_place") <= pair_cap).drop("_place")
-    uncapped = narrow.where(~has_a & ~has_b).orderBy(*order).limit(target)
-    # A row without a group is on its own there, so that blank groups are not one large window.
-    alone = F.concat(F.lit("key "), F.xxhash64(key).cast("string"))
-    state = staged(
-        pruned.unionByName(uncapped).select(
-            "*",
-            F.when(has_a, F.concat(F.lit("group "), "_a")).otherwise(alone).alias("_in_a"),
-            F.when(has_b, F.concat(F.lit("group "), "_b")).otherwise(alone).alias("_in_b"),
-            F.lit(OPEN).alias("_state"),
-        ),
-        "candidates",
-    )
-    # Open rows below the first `target` that may be picked change nothing.
-    leading = lambda: state.where(F.col("_state") != PASSED).orderBy(*order).limit(target)
-    while not leading().where(F.col("_state") == OPEN).isEmpty():
-        decided = state
-        for group, cap in (("_in_a", cap_a), ("_in_b", cap_b)):
-            before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-            taken = F.coalesce(F.sum(F.when(F.col("_state") == PICKED, 1)).over(before), F.lit(0))
-            possible = F.coalesce(F.sum(F.when(F.col("_state") != PASSED, 1)).over(before), F.lit(0))
-            capped = F.col(group).startswith("group ")
-            decided = decided.withColumn(f"_full{group}", capped & (taken >= cap)).withColumn(
-                f"_fits{group}", ~capped | (possible < cap)
-            )
-        after = (
-            F.when(F.col("_state") != OPEN, F.col("_state"))
-            .when(F.col("_full_in_a") | F.col("_full_in_b"), PASSED)
-            .when(F.col("_fits_in_a") & F.col("_fits_in_b"), PICKED)
-            .otherwise(OPEN)
-        )
-        state = staged(decided.select(*[c for c in state.columns if c != "_state"], after.alias("_state")), "candidates")
-
-    picked = state.where(F.col("_state") == PICKED)
-    chosen = staged(picked.orderBy(*order).limit(target).select(key), "picked")
-    result = df.join(chosen, key).select(*df.columns)
-    found = chosen.count()
-    if fill and found < target:
-        others = leftover(df, chosen, key).orderBy(*order).limit(target - found)
-        result = result.unionByName(others)
-    return result
-
-
-def filled_text(df: DataFrame, column: str) -> Column:
-    """Stripped text of a column, the empty text where it is missing or the column is absent."""
-    if column not in df.columns:
-        return F.lit("")
-    return F.coalesce(strip(F.col(column).cast("string")), F.lit(""))
-
-
 def relaxed_filter(
     df: DataFrame, strict: str, relaxed: str, enough: int, keys: Sequence[str], row_id: str
 ) -> DataFrame:

@@ -10,7 +10,8 @@ from triptych.functions.describing import describe_place_sentences
 from triptych.operators.counting import coverage
 from triptych.operators.ranking import dedupe_first, top_rows
 from triptych.operators.rating import with_popularity_boost, with_weighted_rating
-from triptych.operators.sampling import capped_sample, relaxed_filter, twice_capped_sample
+from triptych.operators.capped import capped_sample, twice_capped_sample
+from triptych.operators.sampling import relaxed_filter
 from triptych.plans import constants as fixed
 from triptych.plans.preparation import clean_books, clean_places
 from triptych.sources.tables import coerce_numeric, ensure_columns, keep_columns
