@@ -10,7 +10,7 @@ from checks.registry import query
 from triptych.plans import feedback_report as report
 from triptych.sources.feedback_log import append_feedback, collect_results, feedback_record, media_struct, read_feedback
 from triptych.staging import new_path
-from triptych.streaming.feedback_stream import daily_report_table
+from triptych.streaming.feedback_stream import daily_report_table, daily_table, run_daily_upserts
 
 LOG = f"WITH {bind.FEEDBACK}"
 
@@ -124,6 +124,21 @@ def stream_daily_counts(spark, folder):
     return daily_report_table(spark, path)
 
 
+@query(
+    "stream_upserts",
+    f"""{LOG} SELECT 'day' AS kind, strftime(ts, '%Y-%m-%d') AS day, satisfaction, count(*) AS n, CAST(sum(stars) AS BIGINT) AS stars
+        FROM feedback GROUP BY day, satisfaction
+        UNION ALL SELECT 'unreadable', NULL, NULL, count(*), NULL FROM feedback WHERE row_id % 10 = 0""",
+)
+def stream_upserts(spark, folder):
+    """Days from a log of several files, taken in batches of two, with cut-off lines among them."""
+    path, out = new_path(spark, "log"), new_path(spark, "days")
+    record_lines(spark, folder).repartition(5).write.text(path)
+    # Files come in any order, so no day is closed.
+    run_daily_upserts(spark, path, out, lateness="1000 days", files_per_batch=2)
+    return daily_table(spark, out)
+
+
 @query(
     "build_feedback",
     """WITH named AS (

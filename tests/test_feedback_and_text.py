@@ -12,7 +12,7 @@ from triptych.functions.text import STOP_WORDS
 from triptych.operators import counting, tfidf
 from triptych.plans import feedback_report as report
 from triptych.plans.enrich import enrich_descriptions
-from triptych.sources import feedback_log
+from triptych.sources import feedback_log, versions
 from triptych.sources.feedback_log import FEEDBACK_SCHEMA, append_feedback, read_feedback
 from triptych.streaming import feedback_stream as streams
 from triptych.streaming.feedback_stream import daily_report, daily_report_table, feedback_stream, run_to_table
@@ -80,6 +80,34 @@ def test_stream_equals_batch_and_appends_closed_days_only(spark, records, tmp_pa
     assert {str(r.day): (r.n, r.stars) for r in closed.collect()} == {"2025-12-05": (1, 4), "2025-12-06": (2, 6)}
 
 
+def test_days_are_upserted_once_and_late_lines_counted(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "days")
+    log.mkdir()
+    line = '{"timestamp": "2025-01-%02dT12:00:00", "feedback": {"satisfaction": "%s", "stars": %s}}\n'
+    table = lambda: sorted(((r.kind, str(r.day or ""), r.satisfaction, r.n, r.stars) for r in streams.daily_table(spark, out).collect()), key=str)
+    (log / "a.jsonl").write_text(line % (1, "ok", 4) + line % (2, "ok", 5) + "not json\n\n" + line.replace("2025", "someday") % (3, "ok", 1))
+    streams.run_daily_upserts(spark, str(log), out)
+    first = [("day", "2025-01-01", "ok", 1, 4), ("day", "2025-01-02", "ok", 1, 5), ("unreadable", "", None, 2, None)]
+    assert table() == first
+    # Nothing new: the same table, and no version more.
+    versions_before = versions.versions(spark, out)
+    streams.run_daily_upserts(spark, str(log), out)
+    assert table() == first and versions.versions(spark, out) == versions_before
+    (log / "b.jsonl").write_text(line % (2, "ok", 1) + line % (9, "bad", "null"))
+    streams.run_daily_upserts(spark, str(log), out)
+    second = [first[0], ("day", "2025-01-02", "ok", 2, 6), ("day", "2025-01-09", "bad", 1, None), first[2]]
+    assert table() == second
+    # The second day is closed now.
+    (log / "c.jsonl").write_text(line % (2, "ok", 3) + line % (8, "ok", 3))
+    streams.run_daily_upserts(spark, str(log), out)
+    third = [first[0], second[1], ("day", "2025-01-08", "ok", 1, 3), second[2], ("late", "", None, 1, None), first[2]]
+    assert table() == third
+    # A batch that is run again changes nothing.
+    replayed = spark.read.text(str(log / "c.jsonl"))
+    assert not streams.upsert_days(replayed, out, 2) and table() == third
+    assert streams.upsert_days(replayed, out, 3) and table() != third
+
+
 def plain_keywords(texts, max_terms, min_documents, top):
     terms = {}
     for key, text in texts.items():
@@ -162,3 +190,17 @@ def test_distinct_counts_skip_missing(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "x string")
     assert counting.coverage(df, ["x"]).collect() == [("x", 3, 1)]
     assert counting.value_counts(df, "x").collect() == [("a", 2)]
+
+
+def test_texts_are_emphasised_in_their_row(spark, folder):
+    """Neither a join nor a shuffle of the texts."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    plan = tfidf.emphasised(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_terms_are_weighed_in_a_row(spark):
+    words = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, []), (3, None), (4, ["x"])], "k int, w array<string>")
+    factors = tfidf.Weights([[("a", 1.0), ("b a", 3.0), ("b", 2.0), ("a b", 0.5)]])
+    found = {r.k: [tuple(t) for t in r.t or []] for r in tfidf.weighed(words, "w", factors, "t").collect()}
+    assert found == {1: [("a", 1, 1.0), ("a b", 1, 0.5), ("b", 2, 4.0), ("b a", 1, 3.0)], 2: [], 3: [], 4: []}

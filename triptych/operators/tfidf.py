@@ -1,15 +1,17 @@
 """TF-IDF keywords, and texts emphasised with their own keywords.
 
-Tokenising is the costly part, so the words of every document are written once and then read by
-each step. No step moves texts or all word pairs between machines: counts of words are combined
-before the shuffle, and pairs are counted only where both words are frequent enough.
+The words of every document are written once to count them. No step moves texts or all word pairs
+between machines: counts of words are combined before the shuffle, pairs are counted only where both
+words are frequent enough, and terms are weighed within the row of their document, where they meet
+the vocabulary, whose size is bounded, as constants.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptych.functions.text import STOP_WORDS, bigrams, tokens
@@ -22,6 +24,8 @@ KEYWORDS = 10
 
 # Frequent words are broadcast up to this many, beyond it they are joined with a shuffle.
 BROADCAST_WORDS = 500_000
+# Parts of the vocabulary, one of which is looked through for a term.
+PARTS = 64
 
 
 def tokenised(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -85,36 +89,81 @@ def vocabulary(
     return _most_frequent(single.unionByName(_summed(candidates, min_documents)), max_terms)
 
 
-def term_weights(
-    words: DataFrame,
-    key: str,
-    max_terms: int = MAX_TERMS,
-    min_documents: int = MIN_DOCUMENTS,
-    pairs: bool = True,
-) -> DataFrame:
-    """tf * (ln((1 + documents) / (1 + df)) + 1) of every vocabulary term of every document.
+class Weights(NamedTuple):
+    """Vocabulary terms in parts by their hash, each with ln((1 + documents) / (1 + df)) + 1."""
 
-    The vocabulary holds at most `max_terms` rows, so broadcasting it is safe at any size, and it
-    drops all other terms before they are counted.
-    """
+    parts: list[list[tuple[str, float]]]
+
+    def of(self, term: Column) -> Column:
+        """The factor of a term, NULL if the vocabulary lacks it. One part is looked through."""
+        maps = [
+            F.map_from_arrays(F.split(F.lit("|".join(t for t, _ in part)), "[|]"), F.array(*[F.lit(x) for _, x in part]))
+            if part
+            else F.create_map().cast("map<string,double>")
+            for part in self.parts
+        ]
+        place = F.pmod(F.xxhash64(term), F.lit(len(maps))).cast("int")
+        return F.try_element_at(F.get(F.array(*maps), place), term)
+
+
+def weights(
+    words: DataFrame, max_terms: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS, pairs: bool = True
+) -> Weights:
+    """The factors of the vocabulary of a table of words; at most `max_terms` rows reach the driver."""
     documents = words.agg(F.count("*")).scalar()
-    idf = vocabulary(words, max_terms, min_documents, pairs).select(
-        "term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    known = document_terms(words, key, pairs).join(F.broadcast(idf), "term")
-    return (
-        known.groupBy(key, "term")
-        .agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-        .withColumn("weight", F.col("tf") * F.col("idf"))
-        .drop("idf")
+    factor = F.log((1 + documents) / (1 + F.col("df"))) + 1
+    place = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
+    parts: list[list[tuple[str, float]]] = [[] for _ in range(PARTS)]
+    for r in vocabulary(words, max_terms, min_documents, pairs).select("term", factor.alias("idf"), place.alias("part")).collect():
+        parts[r.part].append((r.term, r.idf))
+    return Weights(parts)
+
+
+def weighed(df: DataFrame, words: str, factors: Weights, out: str, pairs: bool = True) -> DataFrame:
+    """`df` with `out`: term, tf and weight (tf times its factor) of the document's vocabulary terms, by term."""
+    terms = F.concat(words, bigrams(F.col(words))) if pairs else F.col(words)
+    found = F.transform(terms, lambda t: F.struct(t.alias("term"), factors.of(t).alias("idf")))
+    # Equal terms stand next to each other; a run of them begins where the term before is another.
+    known = df.withColumn("_known", F.array_sort(F.filter(found, lambda t: t["idf"].isNotNull())))
+    at = F.when(F.size("_known") > 0, F.sequence(F.lit(0), F.size("_known") - 1)).otherwise(F.array().cast("array<int>"))
+    term = lambda i: F.get("_known", i)["term"]
+    runs = known.withColumn("_first", F.filter(at, lambda i: (i == 0) | (term(i) != term(i - 1))))
+    after = F.concat(F.slice("_first", F.lit(2), F.greatest(F.size("_first") - 1, F.lit(0))), F.array(F.size("_known")))
+    counted = F.zip_with(
+        F.col("_first"),
+        F.when(F.size("_first") > 0, after).otherwise(F.array().cast("array<int>")),
+        lambda first, end: F.struct(
+            term(first).alias("term"), (end - first).cast("bigint").alias("tf"), ((end - first) * F.get("_known", first)["idf"]).alias("weight")
+        ),
     )
+    return runs.withColumn(out, counted).drop("_known", "_first")
+
+
+def best_terms(terms: str, top: int) -> Column:
+    """The `top` terms of highest weight, ties by term, with their weights."""
+    ordered = F.transform(terms, lambda t: F.struct((-F.round(t["weight"], 6)).alias("by"), t["term"].alias("term"), t["tf"].alias("tf"), t["weight"].alias("weight")))
+    return F.slice(F.array_sort(ordered), 1, top)
 
 
 def tfidf_scores(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS, **settings) -> DataFrame:
     """Weights divided by the length of the document's weight vector."""
-    weights = term_weights(tokenised(docs, key, text, stop_words), key, **settings)
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.select(key, "term", "tf", (F.col("weight") / length).alias("score"))
+    words = tokenised(docs, key, text, stop_words)
+    found = weighed(words, "w", weights(words, **settings), "_terms", settings.get("pairs", True))
+    length = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"]))
+    # Named twice, so that the optimizer does not put the whole sum in the place of each name.
+    share = lambda t: F.when(F.col("_length") > 0, t["weight"] / F.col("_length"))
+    scored = found.withColumn("_length", length).withColumn(
+        "_terms", F.transform("_terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), share(t).alias("score")))
+    )
+    return _exploded_terms(scored.select(key, F.posexplode_outer("_terms").alias("at", "t"))).select(key, "t.term", "t.tf", "t.score")
+
+
+def _exploded_terms(rows: DataFrame) -> DataFrame:
+    """Rows of terms without those of documents that have none.
+
+    An inner explode would be preceded by a filter that holds all of the weighing once more.
+    """
+    return rows.where(F.col("at").isNotNull())
 
 
 def keywords(
@@ -126,25 +175,29 @@ def keywords(
     **settings,
 ) -> DataFrame:
     """Highest terms of every document. Dividing by the length would not change their order."""
-    weights = term_weights(tokenised(docs, key, text, stop_words), key, **settings)
-    ranked = Window.partitionBy(key).orderBy(F.round("weight", 6).desc(), "term")
-    return weights.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+    words = tokenised(docs, key, text, stop_words)
+    found = weighed(words, "w", weights(words, **settings), "_terms", settings.get("pairs", True))
+    best = found.select(key, F.posexplode_outer(best_terms("_terms", top)).alias("at", "t"))
+    return _exploded_terms(best).select(key, "t.term", "t.tf", "t.weight", (F.col("at") + 1).alias("rank"))
 
 
 def emphasised(
-    docs: DataFrame, key: str, text: str, out: str = "text_representation", top: int = KEYWORDS, **settings
+    docs: DataFrame,
+    key: str,
+    text: str,
+    out: str = "text_representation",
+    top: int = KEYWORDS,
+    stop_words: Sequence[str] = STOP_WORDS,
+    **settings,
 ) -> DataFrame:
     """Every text followed by a space and its keywords; without keywords only the space is added.
 
-    When no term at all is frequent enough, the texts stay as they are.
+    When no term at all is frequent enough, the texts stay as they are. The texts are read once more
+    for their words instead of being joined with them.
     """
-    best = keywords(docs, key, text, top, **settings)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
-    added = best.groupBy(key).agg(F.array_join(F.transform(ordered, lambda t: t["term"]), " ").alias("_words"))
-    added = staged(added, "emphasis")
-    if added.isEmpty():
+    factors = weights(tokenised(docs, key, text, stop_words), **settings)
+    if not any(factors.parts):
         return docs.withColumn(out, F.col(text))
-    joined = docs.join(added, key, "left")
-    return joined.withColumn(
-        out, F.concat(F.col(text), F.lit(" "), F.coalesce("_words", F.lit("")))
-    ).drop("_words")
+    found = weighed(docs.withColumn("_w", tokens(F.col(text), stop_words)), "_w", factors, "_terms", settings.get("pairs", True))
+    words = F.array_join(F.transform(best_terms("_terms", top), lambda t: t["term"]), " ")
+    return found.withColumn(out, F.concat(F.col(text), F.lit(" "), F.coalesce(words, F.lit("")))).drop("_w", "_terms")

@@ -19,17 +19,18 @@ from triptych.staging import staged
 
 # Buckets of a new table: about as many as keep the rows of one bucket within a few files.
 BUCKETS = 64
-MANIFEST = "bucket int, place string, n bigint, producer string, buckets int"
+MANIFEST = "bucket int, place string, n bigint, producer string, buckets int, batch bigint"
 CHANGES = ("new", "changed", "gone")
 
 
 class Manifest(NamedTuple):
-    """Number of a version, what made its rows, how many buckets there are, and where each one is."""
+    """Number of a version, what made its rows, how many buckets there are, where each one is, and its last batch."""
 
     version: int
     producer: str
     buckets: int
     places: dict[int, str]
+    batch: int | None = None
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -45,7 +46,7 @@ def current(spark: SparkSession, folder: str) -> Manifest | None:
     # One row per bucket, and one that stands for the version as a whole.
     rows = spark.read.schema(MANIFEST).parquet(_manifest(folder, found[-1])).collect()
     head = next(r for r in rows if r.bucket < 0)
-    return Manifest(found[-1], head.producer, head.buckets, {r.bucket: r.place for r in rows if r.bucket >= 0})
+    return Manifest(found[-1], head.producer, head.buckets, {r.bucket: r.place for r in rows if r.bucket >= 0}, head.batch)
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
@@ -103,21 +104,60 @@ def refresh(
     todo = changes.where("change <> 'gone'").select(key, F.col("_now").alias("fingerprint"), "_bucket")
     columns = [f.name for f in StructType.fromDDL(kept_schema)]
     made = make(todo.select(key)).join(todo, key).select(*columns, "_bucket")
-    place = f"data/{uuid.uuid4().hex}"
     if usable:
         stale = _read(spark, folder, kept_schema, sorted(p for b, p in old.places.items() if b in touched))
         same = stale.join(changes.select(key), key, "left_anti")
         made = made.unionByName(same.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    _write(made, folder, kept_schema, touched, old, usable, producer, buckets)
+    return changes.select(key, "change")
+
+
+def upsert(
+    rows: DataFrame, folder: str, schema: str, batch: int, producer: str, key: str = "key", buckets: int = BUCKETS
+) -> bool:
+    """Replace the rows of these keys, one row per key; whether the batch was not in the table before.
+
+    Batches come in order. One that the table has already, such as the last one after a restart, is
+    left out, so each counts once.
+    """
+    spark = rows.sparkSession
+    old = current(spark, folder)
+    if old is not None and (old.producer, old.buckets) != (producer, buckets):
+        raise ValueError(f"{folder} is a table of {old.producer} with {old.buckets} buckets")
+    if old is not None and old.batch is not None and batch <= old.batch:
+        return False
+    columns = [f.name for f in StructType.fromDDL(schema)]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = staged(rows.select(*columns).withColumn("_bucket", bucket), "upserted")
+    touched = {r._bucket for r in fresh.select("_bucket").distinct().collect()}
+    stale = _read(spark, folder, schema, sorted(p for b, p in old.places.items() if b in touched) if old else [])
+    kept = stale.join(fresh.select(key), key, "left_anti").withColumn("_bucket", bucket)
+    _write(fresh.unionByName(kept), folder, schema, touched, old, old is not None, producer, buckets, batch)
+    return True
+
+
+def _write(
+    rows: DataFrame,
+    folder: str,
+    schema: str,
+    touched: set[int],
+    old: Manifest | None,
+    keep: bool,
+    producer: str,
+    buckets: int,
+    batch: int | None = None,
+) -> None:
+    """Write the touched buckets, then the manifest that names them and, to keep, the old files of the others."""
+    spark, place = rows.sparkSession, f"data/{uuid.uuid4().hex}"
     # A bucket goes to one file, or to several where it is large.
-    made.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{folder}/{place}")
-    written = spark.read.schema(f"{kept_schema}, _bucket int").option("basePath", f"{folder}/{place}").parquet(f"{folder}/{place}")
+    rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{folder}/{place}")
+    written = spark.read.schema(f"{schema}, _bucket int").option("basePath", f"{folder}/{place}").parquet(f"{folder}/{place}")
     counts = {r._bucket: r["n"] for r in written.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-    places = {b: p for b, p in old.places.items() if b not in touched} if usable else {}
+    places = {b: p for b, p in old.places.items() if b not in touched} if old and keep else {}
     places |= {b: f"{place}/_bucket={b}" for b in counts}
-    rows = [(b, p, counts.get(b), producer, buckets) for b, p in places.items()] + [(-1, None, None, producer, buckets)]
-    manifest = spark.createDataFrame(rows, MANIFEST).coalesce(1)
+    named = [(b, p, counts.get(b), producer, buckets, batch) for b, p in places.items()]
+    manifest = spark.createDataFrame([*named, (-1, None, None, producer, buckets, batch)], MANIFEST).coalesce(1)
     manifest.write.mode("error").parquet(_manifest(folder, old.version + 1 if old else 1))
-    return changes.select(key, "change")
 
 
 def forget_old(spark: SparkSession, folder: str, keep: int = 2) -> int:
