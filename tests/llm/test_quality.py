@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from triptych.llm import quality
 from triptych.llm.quality import FEATURES, _packed, _unpacked, classify, content_features, fit_dense
 from triptych.llm.text import table
 
@@ -65,4 +67,43 @@ def test_dense_fit():
     x = np.linspace(-3, 3, 400)
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x + 1)))).astype(float)
-    assert fit_dense(x[:, None], y) == pytest.approx([2, 1], abs=0.6)
+    assert fit_dense(x[:, None], y, [1.0, 0.0]) == pytest.approx([2, 1], abs=0.6)
+    assert fit_dense(np.zeros((0, 1)), np.zeros(0), [1.0, 0.0]).tolist() == [1, 0]
+
+
+def test_counts_of_taught_documents(spark, folder):
+    """Against a loop over all documents."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    inputs = docs.select(*quality._inputs(docs))
+    models = quality.train(docs, labels)
+    telling = models["quality"].content.weights != 0
+    got = quality.taught(inputs, models, telling)
+    for name, model in models.items():
+        want = [quality.Counts(np.zeros(size), np.zeros(size)) for size in (FEATURES, quality.METADATA)]
+        for row in inputs.collect():
+            columns = [pa.array([v]) for v in row]
+            for data, starts, numbers, codes, *_ in quality._pieces(columns):
+                pair = quality.telling_pairs(data, starts, telling)
+                binned = quality.binned_metadata(numbers, codes, model.edges)
+                content, metadata = (float(quality.sigmoid(v)[0]) for v in model.views(pair, binned))
+            for learner, p, features in ((0, metadata, pair % FEATURES), (1, content, binned.ravel())):
+                if p >= quality.SURE:
+                    want[learner].up[features] += 1
+                    want[learner].ups += 1
+                elif p <= 1 - quality.SURE:
+                    want[learner].down[features] += 1
+                    want[learner].downs += 1
+        for a, b in zip(got[name], want):
+            assert (a.up == b.up).all() and (a.down == b.down).all() and (a.ups, a.downs) == (b.ups, b.downs)
+
+
+def test_unlabelled_documents_teach(spark):
+    """Words that no labelled document holds do not count, those that only some do gain weight from the others."""
+    prior = np.zeros(FEATURES)
+    prior[3] = 4.0
+    label = np.array([1.0, 0.0] * 30)
+    text = np.arange(60)
+    plain = quality.fit_view(np.where(label > 0, 1, 2), text, FEATURES, label, np.zeros(FEATURES))
+    with_prior = quality.fit_view(np.where(label > 0, 3, 2), text, FEATURES, label, prior)
+    assert plain.weights[1] > 0 > plain.weights[2] and plain.weights[3] == 0
+    assert with_prior.weights[3] > plain.weights[1]

@@ -1,9 +1,10 @@
 """A quality classifier trained by co-training two views of a document.
 
 The content view sees the words of a text, the metadata view its source, language, size and the
-make-up of its page. Both are trained on a bounded sample of labelled documents; over some rounds
-each labels the documents of a bounded pool it is sure of, for the other to learn from. Views are
-calibrated and combined on labelled documents held out. All documents are then scored.
+make-up of its page. Both are fitted to a bounded sample of labelled documents. In each round both
+score all other documents where these lie; how often each feature comes in those that a view is sure
+of is added up by Spark, and the other view is fitted anew around the log odds that these counts
+give. Views are calibrated and combined on labelled documents held out. All documents are then scored.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from pyspark.sql import functions as F
 
 from triptych.llm.hashing import BYTE, SEPARATOR, U64, chunks, mix, text_buffer, word_hashes
 from triptych.llm.text import whole
+from triptych.staging import staged
 
-# Bounds of what is gathered for training.
+# Bound of the labelled documents that are gathered. Others count as unlabelled.
 LABELLED_ROWS = 8_000
-POOL_ROWS = 4_000
-HELD_OUT = 4  # one labelled document of so many
+HELD_OUT = 4  # one labelled document of a class in so many
 ROUNDS = 3
 SURE = 0.97
-PSEUDO_WEIGHT = 0.5
 # Words and word endings by their hashes.
 WORDS = 1 << 16
 ENDINGS = 1 << 12
@@ -46,6 +46,8 @@ CLASSES[0x0A] = 4
 CLASSES[0x7C] = 6
 CLASSES[0x80:] = 7
 NUMBERS = 12
+METADATA = NUMBERS * BINS + SOURCES + LANGUAGES
+TARGETS = ("quality", "toxic")
 
 SCORES = "struct<p_content: double, p_metadata: double, p_quality: double, p_toxic: double>"
 
@@ -115,16 +117,23 @@ class Model:
     edges: np.ndarray
     combined: np.ndarray
 
-    def logits(self, data: np.ndarray, starts: np.ndarray, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        texts = len(starts) - 1
-        features, text = content_features(data, starts)
-        used = np.flatnonzero(self.content.weights[features])
-        pair = np.unique(text[used] * FEATURES + features[used])
+    def views(self, pair: np.ndarray, binned: np.ndarray) -> list[np.ndarray]:
+        """Log odds of the two views from distinct (text, word feature) pairs and the metadata of the texts."""
+        texts, columns = binned.shape
         content = self.content.logit(pair % FEATURES, pair // FEATURES, texts)
-        binned = binned_metadata(numbers, codes, self.edges)
-        rows = np.repeat(np.arange(texts), binned.shape[1])
-        metadata = self.metadata.logit(binned.ravel(), rows, texts)
-        return np.stack([content, metadata, np.stack([content, metadata], axis=1) @ self.combined[:2] + self.combined[2]])
+        return [content, self.metadata.logit(binned.ravel(), np.repeat(np.arange(texts), columns), texts)]
+
+    def logits(self, pair: np.ndarray, binned: np.ndarray) -> np.ndarray:
+        """The log odds of both views, and combined."""
+        both = np.stack(self.views(pair, binned), axis=1)
+        return np.stack([both[:, 0], both[:, 1], both @ self.combined[:2] + self.combined[2]])
+
+
+def telling_pairs(data: np.ndarray, starts: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Distinct pairs of a text and a telling word feature, as text * FEATURES + feature."""
+    features, text = content_features(data, starts)
+    used = np.flatnonzero(telling[features])
+    return np.unique(text[used] * FEATURES + features[used])
 
 
 def binned_metadata(numbers: np.ndarray, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -137,124 +146,180 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_view(features: np.ndarray, text: np.ndarray, size: int, label: np.ndarray, weight: np.ndarray) -> View:
-    """Logistic regression by full-batch Adam."""
+def fit_view(features: np.ndarray, text: np.ndarray, size: int, label: np.ndarray, prior: np.ndarray) -> View:
+    """Logistic regression by full-batch Adam: a multiple of the prior weights, and what differs from it.
+
+    Only the difference is held small, so the labelled rows say how far the prior is to be trusted.
+    """
     used, column = np.unique(features, return_inverse=True)
-    w, b, n = np.zeros(len(used)), 0.0, max(weight.sum(), 1)
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    said = np.bincount(text, prior[features], len(label))
+    unit = max(float(np.abs(said).max(initial=0.0)), 1e-9)
+    said, n = said / unit, max(len(label), 1)
+    w, decay = np.zeros(len(used) + 2), np.append(np.full(len(used), 1e-4), [0.0, 0.0])
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, 301):
-        error = (sigmoid(np.bincount(text, w[column], len(label)) + b) - label) * weight
-        gradient = np.append(np.bincount(column, error[text], len(used)) / n + 1e-4 * w, error.sum() / n)
+        error = sigmoid(np.bincount(text, w[:-2][column], len(label)) + w[-2] * said + w[-1]) - label
+        gradient = np.append(np.bincount(column, error[text], len(used)), [error @ said, error.sum()]) / n + decay * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(size)
-    weights[used] = w
-    return View(weights, b)
+    weights[used] = w[:-2]
+    return View(weights + w[-2] / unit * prior, w[-1])
 
 
-def fit_dense(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Logistic regression on a few columns and a constant, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def fit_dense(x: np.ndarray, label: np.ndarray, start: list[float]) -> np.ndarray:
+    """Logistic regression on a few columns and a constant, near `start` while rows are few.
+
+    By Newton steps, each halved until it lowers the loss.
+    """
+    x, start = np.column_stack([x, np.ones(len(x))]), np.array(start)
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - label @ (x @ w) + (w - start) @ (w - start) / 2
+    w = start.copy()
     for _ in range(25):
         p = sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(hessian, x.T @ (p - label) + 1e-2 * w), -5, 5)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        step, now = np.linalg.solve(hessian, x.T @ (p - label) + w - start), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return w
 
 
 @dataclass
 class Sample:
-    """Documents gathered for training: distinct (text, feature) pairs, numbers, codes, labels or -1."""
+    """Labelled documents: distinct (text, telling feature) pairs, metadata features, labels, who is held out."""
 
     features: np.ndarray
     text: np.ndarray
-    numbers: np.ndarray
-    codes: np.ndarray
+    binned: np.ndarray
     label: np.ndarray
+    held: np.ndarray
+
 
-    def rows(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = mask[self.text]
-        return self.features[keep], (np.cumsum(mask) - 1)[self.text[keep]]
-
-
-def co_train(sample: Sample, rounds: int = ROUNDS) -> Model | None:
-    """The model of one target; None where the labels do not hold both classes."""
-    known = np.flatnonzero(sample.label >= 0)
-    if len(np.unique(sample.label[known])) < 2:
-        return None
-    held = np.zeros(len(sample.label), dtype=bool)
-    for value in (0, 1):  # in the order of the sample, which is that of a hash
-        held[np.flatnonzero(sample.label == value)[::HELD_OUT]] = True
-    # With a handful of labels, they serve for training and calibration alike.
-    fit = held.copy() if len(known) < 50 else ~held
-    fit |= (sample.label >= 0) & (len(known) < 50)
-    train = (sample.label >= 0) & fit
-    edges = np.quantile(sample.numbers[train], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    binned = binned_metadata(sample.numbers, sample.codes, edges)
-    chosen = _telling(sample, train)
-    on = chosen[sample.features]
-    words = Sample(sample.features[on], sample.text[on], sample.numbers, sample.codes, sample.label)
-    size = len(sample.label)
-    # Labels and weights of each view; pseudo-labels join them.
-    label = [np.where(train, sample.label, 0).astype(float) for _ in range(2)]
-    weight = [train.astype(float) for _ in range(2)]
-    pool = sample.label < 0
-    rows = np.repeat(np.arange(size), binned.shape[1])
-    for turn in range(rounds + 1):
-        mask = weight[0] > 0
-        content = fit_view(*words.rows(mask), FEATURES, label[0][mask], weight[0][mask])
-        mask = weight[1] > 0
-        metadata = fit_view(
-            binned[mask].ravel(), np.repeat(np.arange(mask.sum()), binned.shape[1]),
-            NUMBERS * BINS + SOURCES + LANGUAGES, label[1][mask], weight[1][mask],
-        )
-        seen = [content.logit(words.features, words.text, size), metadata.logit(binned.ravel(), rows, size)]
-        if turn < rounds:
-            for teacher, learner in ((0, 1), (1, 0)):
-                p = sigmoid(seen[teacher])
-                for value, sure in ((1.0, p >= SURE), (0.0, p <= 1 - SURE)):
-                    taught = pool & sure
-                    label[learner][taught], weight[learner][taught] = value, PSEUDO_WEIGHT
-    truth = sample.label[held].astype(float)
-    for view, logit in zip((content, metadata), seen):
-        view.scale = tuple(fit_dense(logit[held][:, None], truth))
-    calibrated = np.column_stack([a * s[held] + b for s, (a, b) in zip(seen, (content.scale, metadata.scale))])
-    return Model(content, metadata, edges, fit_dense(calibrated, truth))
-
-
-def _telling(sample: Sample, train: np.ndarray) -> np.ndarray:
+@dataclass
+class Counts:
+    """How many documents a view is sure to be of the class and not to be, and how many of them have each feature."""
+
+    up: np.ndarray
+    down: np.ndarray
+    ups: int = 0
+    downs: int = 0
+
+    @property
+    def log_odds(self) -> np.ndarray:
+        """Smoothed by one document more that is divided like all others, so that features without any have 0."""
+        if not self.ups or not self.downs:
+            return np.zeros(len(self.up))
+        more = 1 / (self.ups + self.downs)
+        return np.log(self.up / self.ups + more) - np.log(self.down / self.downs + more)
+
+
+def fitted(sample: Sample, edges: np.ndarray, priors: list[np.ndarray]) -> Model:
+    """The two views around their priors, fitted to the labelled documents that are not held out."""
+    train = ~sample.held
+    place, label = np.cumsum(train) - 1, sample.label[train].astype(float)
+    on = train[sample.text]
+    content = fit_view(sample.features[on], place[sample.text[on]], FEATURES, label, priors[0])
+    binned = sample.binned[train]
+    rows = np.repeat(np.arange(len(binned)), binned.shape[1])
+    return Model(content, fit_view(binned.ravel(), rows, METADATA, label, priors[1]), edges, np.array([0.5, 0.5, 0.0]))
+
+
+def calibrated(model: Model, sample: Sample) -> Model:
+    """The model with its views scaled, and combined, as fits the documents held out.
+
+    While these are few, the views stay nearly as they are and count alike.
+    """
+    pair = sample.text.astype(np.int64) * FEATURES + sample.features
+    seen = [logit[sample.held] for logit in model.views(pair, sample.binned)]
+    truth = sample.label[sample.held].astype(float)
+    for view, logit in zip((model.content, model.metadata), seen):
+        view.scale = tuple(fit_dense(logit[:, None], truth, [1.0, 0.0]))
+    scaled = [view.scale[0] * logit + view.scale[1] for view, logit in zip((model.content, model.metadata), seen)]
+    model.combined = fit_dense(np.column_stack(scaled), truth, [0.5, 0.5, 0.0])
+    return model
+
+
+def _telling(counts: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     """Features whose frequencies in the two classes differ by several standard errors."""
-    counts = []
-    for value in (0, 1):
-        mask = train & (sample.label == value)
-        counts.append((np.bincount(sample.rows(mask)[0], minlength=FEATURES), max(mask.sum(), 1)))
-    (a, n), (b, m) = counts
+    (a, b), (n, m) = counts, [max(size, 1) for size in sizes]
     share = (a + b + 1) / (n + m + 2)
     return np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m)) >= LEAST_Z
 
 
 def train(documents: DataFrame, labels: DataFrame) -> dict[str, Model | None]:
-    """Models of quality and toxicity from a bounded sample of labelled and unlabelled documents."""
+    """Models of quality and toxicity; None where the gathered labels do not hold both classes."""
     marked = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     )
-    order = F.xxhash64("doc_id")
-    texts = documents.where("doc_id is not null").select("doc_id", *_inputs(documents))
-    chosen = texts.select("doc_id").join(marked, "doc_id").orderBy(order, "doc_id").limit(LABELLED_ROWS)
-    pool = texts.select("doc_id").join(marked, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL_ROWS)
-    wanted = chosen.unionByName(pool.select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")))
-    # At most LABELLED_ROWS + POOL_ROWS rows of three numbers.
-    gathered = texts.join(F.broadcast(wanted.dropDuplicates(["doc_id"])), "doc_id").select(
-        "doc_id", "quality", "toxic", "text", "source", "lang", "n_chars"
+    texts = documents.select("doc_id", *_inputs(documents))
+    there = marked.join(documents.select("doc_id"), "doc_id", "left_semi")
+    chosen = staged(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS), "quality-chosen")
+    # At most LABELLED_ROWS rows of three numbers.
+    rows = (
+        texts.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "quality", "toxic", "text", "source", "lang", "n_chars")
+        .mapInArrow(_features, "doc_id bigint, quality int, toxic int, features binary, numbers binary, codes binary")
+        .dropDuplicates(["doc_id"])
+        .toArrow()
     )
-    rows = gathered.mapInArrow(
-        _features, "doc_id bigint, quality int, toxic int, features binary, numbers binary, codes binary"
-    ).toArrow()
-    return {name: co_train(_sample(rows, name)) for name in ("quality", "toxic")}
+    samples, edges, telling = _samples(rows)
+    if not samples:
+        return dict.fromkeys(TARGETS)
+    others = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("text", "source", "lang", "n_chars")
+    priors = {name: [np.zeros(FEATURES), np.zeros(METADATA)] for name in samples}
+    models = {name: fitted(sample, edges[name], priors[name]) for name, sample in samples.items()}
+    for _ in range(ROUNDS):
+        for name, counts in taught(others, models, telling).items():
+            priors[name] = [counts[0].log_odds * telling, counts[1].log_odds]
+        models = {name: fitted(sample, edges[name], priors[name]) for name, sample in samples.items()}
+    return dict.fromkeys(TARGETS) | {name: calibrated(model, samples[name]) for name, model in models.items()}
+
+
+def taught(documents: DataFrame, models: dict[str, Model], telling: np.ndarray) -> dict[str, list[Counts]]:
+    """What each view of each target learns from the documents that the other view is sure of.
+
+    All documents are scored. A task hands on one row per feature, whose number the models bound.
+    """
+
+    def count(batches):
+        totals = {}
+        for batch in batches:
+            for data, starts, numbers, codes, first, after in _pieces(batch.columns):
+                pair = telling_pairs(data, starts, telling)
+                features, text = pair % FEATURES, pair // FEATURES
+                for target, model in models.items():
+                    binned = binned_metadata(numbers, codes, model.edges)
+                    sure = [sigmoid(logit) for logit in model.views(pair, binned)]
+                    for learner, p in enumerate(reversed(sure)):
+                        for side, mask in enumerate((p >= SURE, p <= 1 - SURE)):
+                            found = features[mask[text]] if learner == 0 else binned[mask].ravel()
+                            size = FEATURES if learner == 0 else METADATA
+                            total = totals.setdefault((target, learner, side), np.zeros(size + 1, dtype=np.int64))
+                            total[:-1] += np.bincount(found, minlength=size)
+                            total[-1] += mask.sum()
+        for (target, learner, side), total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([target] * len(at), pa.string()), pa.array(np.full(len(at), learner, np.int32)), pa.array(np.full(len(at), side, np.int32))]
+                + [pa.array(at.astype(np.int32)), pa.array(total[at])],
+                ["target", "learner", "side", "feature", "n"],
+            )
+
+    parts = documents.mapInArrow(count, "target string, learner int, side int, feature int, n bigint")
+    sizes = (FEATURES, METADATA)
+    out = {name: [Counts(np.zeros(size), np.zeros(size)) for size in sizes] for name in models}
+    for r in parts.groupBy("target", "learner", "side", "feature").agg(F.sum("n").alias("n")).collect():
+        counts = out[r.target][r.learner]
+        if r.feature < sizes[r.learner]:
+            (counts.down if r.side else counts.up)[r.feature] = r["n"]
+        elif r.side:
+            counts.downs = r["n"]
+        else:
+            counts.ups = r["n"]
+    return out
 
 
 def _inputs(documents: DataFrame) -> list[Column]:
@@ -307,29 +372,53 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8)))
 
 
-def _sample(rows: pa.Table, target: str) -> Sample:
-    rows = rows.take(pa.array(np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in rows.column("doc_id").to_pylist()], kind="stable")))
-    features = [_unpacked(b) for b in rows.column("features").to_pylist()]
-    count = [len(f) for f in features]
-    return Sample(
-        np.concatenate(features) if features else np.zeros(0, dtype=np.int64),
-        np.repeat(np.arange(len(count)), count).astype(np.int64),
-        np.array([np.frombuffer(b) for b in rows.column("numbers").to_pylist()]).reshape(-1, NUMBERS),
-        np.array([np.frombuffer(b, dtype=np.int64) for b in rows.column("codes").to_pylist()], dtype=np.int64).reshape(-1, 2),
-        rows.column(target).to_numpy().astype(np.int64),
-    )
+def _samples(rows: pa.Table) -> tuple[dict[str, Sample], dict[str, np.ndarray], np.ndarray]:
+    """For each target with both classes the sample and the bins of the numbers, and the features that tell any apart."""
+    order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in rows.column("doc_id").to_pylist()], kind="stable")
+    rows = rows.take(pa.array(order))
+    numbers = np.array([np.frombuffer(b) for b in rows.column("numbers").to_pylist()]).reshape(-1, NUMBERS)
+    codes = np.array([np.frombuffer(b, dtype=np.int64) for b in rows.column("codes").to_pylist()], dtype=np.int64).reshape(-1, 2)
+    label = {name: rows.column(name).to_numpy().astype(np.int64) for name in TARGETS}
+    label = {name: mine for name, mine in label.items() if len(np.unique(mine)) == 2}
+    held, counts = {}, {}
+    for name, mine in label.items():
+        held[name] = np.zeros(len(mine), dtype=bool)
+        for value in (0, 1):  # in the order of a hash
+            held[name][np.flatnonzero(mine == value)[HELD_OUT - 1 :: HELD_OUT]] = True
+        counts[name] = np.zeros((2, FEATURES), dtype=np.int64)
+    packed = rows.column("features").to_pylist()
+    for i, data in enumerate(packed):
+        features = _unpacked(data)
+        for name, mine in label.items():
+            if not held[name][i]:
+                counts[name][mine[i], features] += 1
+    telling = np.zeros(FEATURES, dtype=bool)
+    for name, mine in label.items():
+        telling |= _telling(list(counts[name]), [int(((mine == value) & ~held[name]).sum()) for value in (0, 1)])
+    # Only telling features are kept, a small part of all.
+    kept = [f[telling[f]].astype(np.int32) for f in map(_unpacked, packed)]
+    features = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int32)
+    text = np.repeat(np.arange(len(kept), dtype=np.int32), [len(f) for f in kept])
+    samples, edges = {}, {}
+    for name, mine in label.items():
+        edges[name] = np.quantile(numbers[~held[name]], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+        samples[name] = Sample(features, text, binned_metadata(numbers, codes, edges[name]), mine, held[name])
+    return samples, edges, telling
 
 
 def score(documents: DataFrame, models: dict[str, Model | None]) -> Column:
     """Probabilities of the row's document; null for a target without a model."""
+    telling = np.zeros(FEATURES, dtype=bool)
+    for model in filter(None, models.values()):
+        telling |= model.content.weights != 0
 
     @F.arrow_udf(SCORES)
     def scored(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
         parts = []
         for data, starts, numbers, codes, first, after in _pieces([text, source, lang, n_chars]):
-            out = {}
+            pair, out = telling_pairs(data, starts, telling), {}
             for name, model in models.items():
-                logits = model and model.logits(data, starts, numbers, codes)
+                logits = model and model.logits(pair, binned_metadata(numbers, codes, model.edges))
                 out[name] = [None] * 3 if model is None else [pa.array(sigmoid(row)) for row in logits]
             columns = [*out["quality"], out["toxic"][2]]
             parts.append([pa.nulls(after - first, pa.float64()) if c is None else c for c in columns])
@@ -349,12 +438,13 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc (the row of `documents`), p_content, p_metadata, p_quality, p_toxic, kept.
 
     Labels with a null doc_id or quality are not used, a null toxic counts as 0; where labels of a
-    doc_id differ, the worse counts. Without labelled documents of both classes the probabilities of
+    doc_id differ, the worse counts. All documents but the labelled ones that are gathered teach the
+    views as unlabelled ones. Without labelled documents of both classes the probabilities of
     a target are null and it rejects nothing.
 
     A null text counts as empty, a null source or language as an empty one, and a null n_chars as
-    the size of the text; empty texts are scored like others. Rows with a null doc_id and repeated
-    rows are scored, not trained on or trained on as they are. Other columns are only handed on. An
+    the size of the text; empty texts are scored like others. Rows with a null doc_id are
+    unlabelled; of rows with the same labelled doc_id one is trained on, and all are scored. Other columns are only handed on. An
     empty table gives an empty result.
     """
     models = train(documents, labels)
