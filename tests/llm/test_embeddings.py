@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -95,3 +100,21 @@ def test_probes_and_lookups_lose_nothing(radius):
     code, error = q.encode(x, at)
     for i in range(0, 600, 7):
         assert q.distances(y[i : i + 1], at[i], code[i : i + 1])[0, 0] <= radius + error[i] + 1e-9
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """From another folder, with the package only on the driver's path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from triptych.llm.embeddings import embedding_dedup
+from triptych.llm.vector_codes import compress
+from triptych.llm.whitening import whiten
+from triptych.session import local_session
+spark = local_session("elsewhere", 2, memory="1g")
+df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.999, 0.001], 0), (3, [0.0, 1.0], 0)], "vec_id bigint, embedding array<float>, label int")
+print("found", sorted(r.n_links for r in embedding_dedup(df).collect()), whiten(df).count(), compress(df, parts=2)[0].count())
+"""
+    clean = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert "found [0, 1, 1] 3 3" in done.stdout, done.stderr[-2000:]

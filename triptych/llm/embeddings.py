@@ -152,11 +152,12 @@ def _search(classes: DataFrame, cosine: float) -> DataFrame:
     ordered = classes.select("vector", "id").orderBy(F.xxhash64("id"), "id").limit(max(1, TRAIN_FLOATS // width))
     sample = _units(ordered.select("vector").toArrow().column(0), width)
     quantiser = fit_quantiser(sample, min(MOST_LISTS, max(1, shape.n // LIST_ROWS), len(sample)))
-    shared = spark.sparkContext.broadcast(quantiser)
+    # Plain arrays: what is broadcast is read without this package on the executors.
+    shared = spark.sparkContext.broadcast((quantiser.centroids, quantiser.columns, quantiser.codes))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
 
     def index(batches):
-        q = shared.value
+        q = Quantiser(*shared.value)
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(first, BLOCK)
@@ -192,7 +193,7 @@ def _search(classes: DataFrame, cosine: float) -> DataFrame:
     )
 
     def compare(key, table):
-        return _linked(shared.value, key[1].as_py(), table, width, radius, cosine)
+        return _linked(Quantiser(*shared.value), key[1].as_py(), table, width, radius, cosine)
 
     return blocks.groupBy("label", "list", "p", "o").applyInArrow(compare, FOUND)
 
