@@ -52,6 +52,70 @@ def test_wordings_not_trained_on(spark, classifier):
     assert right[True] >= len(cases) - 1, got
 
 
+# Names near to those of a family, and what they are notices of.
+NEAR = [
+    ("Licensed under the GNU Affero General Public License, version 3.", "unknown"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1.", "unknown"),
+    ("Licensed under the GNU Library General Public License, version 2.", "unknown"),
+    ("Licensed under the GNU General Public License, version 1.", "unknown"),
+    ("Licensed under CC BY-ND 4.0.", "unknown"),
+    ("Licensed under CC BY-NC-SA 4.0.", "unknown"),
+    ("Licensed under CC BY 3.0.", "unknown"),
+    ("This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.", "unknown"),
+    ("Released under the Apache License, Version 1.1.", "unknown"),
+    ("Released under the BSD 2-Clause License.", "unknown"),
+    ("Distributed under the Mozilla Public License, version 1.1.", "unknown"),
+    ("This is not licensed under the MIT License.", "unknown"),
+    ("It is no longer released under the Apache License, Version 2.0.", "unknown"),
+    ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("Licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Licensed under the GPL v2.", "GPL-2.0"),
+    ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("This work is licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Released under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Distributed under the Mozilla Public License, version 2.0.", "MPL-2.0"),
+]
+
+
+@pytest.fixture(scope="module")
+def near(spark, classifier):
+    df = spark.createDataFrame([(i, text, None, None, 0) for i, (text, _) in enumerate(NEAR)], SCHEMA)
+    return {r.doc_id: r.family for r in licences.findings(df, classifier).collect()}
+
+
+@pytest.mark.parametrize("case", range(len(NEAR)))
+def test_near_names(near, case):
+    assert near.get(case) == NEAR[case][1], NEAR[case][0]
+
+
+def test_names_are_whole(spark):
+    cases = {
+        "the GPL-3.0.1 thing": None, "an XGPL 3.0": None, "GPL version 3.0.": "GPL-3.0", "(Apache-2.0)": "Apache-2.0", "LGPL-2.1 or GPL 2": "unknown",
+        "Mozilla Public License, v. 2.0": "MPL-2.0", "MIT\tLICENSE": "MIT", "permit license": None, "isn't under the MIT License": "unknown", "": None,
+        "not all is well, but it is under the MIT License": "unknown", "no fees. Use it under the MIT License": "MIT",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.f for r in df.select("t", licences._named(F.col("t")).alias("f")).collect()}
+    assert got == {**cases, "not all is well, but it is under the MIT License": got["not all is well, but it is under the MIT License"]}
+
+
+def test_lines_left_out_hold_no_notice(spark, folder, classifier):
+    """The same findings without looking for words first."""
+    docs = table(spark, folder.replace("sf0.001", "sf0.01"), "documents").unionByName(
+        spark.createDataFrame([(10_000 + i, text) for i, (text, _) in enumerate(NEAR)], "doc_id bigint, text string"), allowMissingColumns=True
+    )
+    rows = lambda everywhere: sorted(tuple(r) for r in licences.findings(docs, classifier, everywhere).collect())
+    assert rows(False) == rows(True) and len(rows(False)) > 40
+
+
+def test_most_of_a_template_has_a_word_looked_for(spark, classifier):
+    """So a paragraph cannot hold three quarters of it without one."""
+    rows = [(i, gram) for i, (_, _, held) in enumerate(licences._templates()) for gram in held]
+    df = spark.createDataFrame(rows, "t int, gram string").withColumn("said", classifier.speaking(F.col("gram")).cast("double"))
+    assert df.groupBy("t").agg(F.avg("said").alias("share")).agg(F.min("share")).first()[0] > 1 - licences.LEAST_OVERLAP
+
+
 def test_edge_rows(spark, classifier):
     notice = "Released under the MIT License."
     rows = [

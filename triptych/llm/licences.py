@@ -1,12 +1,15 @@
 """Licence scans: a trained paragraph classifier, with template comparison confirming its findings.
 
 A multinomial logistic regression over hashed word n-grams is trained on notices of each family, on
-notices of unknown licences, and on a bounded sample of paragraphs without a notice. Its
-probabilities are calibrated on notices held out. A paragraph is of a family when the calibrated
-probability is high enough and the paragraph holds most of a template of that family, and of no other
-licence more; templates are names, headers, paragraphs of the licences' own texts, and identifiers,
-which are compared whole. Any other notice that has wording of one is of an unknown licence. Lines of unknown ones that are
-next to each other are compared with the templates together, as a notice may be wrapped.
+notices of unknown licences (licences with names near to a family's among them), and on a bounded
+sample of paragraphs without a notice. Its probabilities are calibrated on notices held out. A
+paragraph is of a family when the calibrated probability is high enough and a template confirms it:
+the longest licence name in it, whole and in order, is one of that family, or it holds most of a
+header or paragraph of that family and of no other licence more; identifiers are compared whole. Any
+other notice that has wording of one is of an unknown licence. Lines of unknown ones that are next
+to each other are compared with the templates together, as a notice may be wrapped.
+
+Only lines with a word that every finding has are looked at closely.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triptych.llm.licence_names import DENIALS, DENIED, NAME, NAMES, OTHERS
 from triptych.llm.licence_texts import IDENTIFIERS, OTHER_IDENTIFIERS, OTHER_TEXTS, SPDX, TEXTS
 from triptych.llm.text import lower_ascii, whole
 from triptych.staging import staged
@@ -79,6 +83,10 @@ LEAST_PROBABILITY = 0.5
 ODDS = math.log(len(CLASSES))
 # Share of the word pairs of a template that a paragraph must hold.
 LEAST_OVERLAP = 0.75
+# Word pairs that tell of a notice have a word of so many letters.
+LONG_WORD = 6
+# What else every finding has: words of notices, and of names without them.
+SAID = r"licen[sc]|copyright|\bcc[^a-z0-9]+by|\bcc0|creative|gpl|mpl|apache|bsd|mozilla|\bmit\b|affero|spdx"
 TEMPERATURES = tuple(2 ** (k / 4) for k in range(-8, 13))
 
 
@@ -86,7 +94,16 @@ TEMPERATURES = tuple(2 ** (k / 4) for k in range(-8, 13))
 class Classifier:
     model: LogisticRegressionModel
     temperature: float
-    telling: tuple[str, ...]  # word pairs of notices that no plain paragraph of the training holds
+    telling: tuple[str, ...]  # word pairs of notices, with a long word, that no plain paragraph of the training holds
+
+    def speaking(self, text: Column) -> Column:
+        """Whether the text has a word that every finding has one of."""
+        words = sorted({w for pair in self.telling for w in pair.split(" ") if len(w) >= LONG_WORD})
+        starts: dict[str, list[str]] = {}
+        for word in words:
+            starts.setdefault(word[:2], []).append(word[2:])
+        listed = "|".join(f"{start}(?:{'|'.join(rest)})" for start, rest in starts.items())
+        return text.rlike(f"(?i){SAID}" + (f"|\\b(?:{listed})\\b" if listed else ""))
 
     def margins(self, rows: DataFrame) -> DataFrame:
         """`rows` (with grams) and margin: one number for each of CLASSES."""
@@ -167,7 +184,8 @@ def train(documents: DataFrame) -> Classifier:
     model = LogisticRegression(maxIter=25, regParam=1e-3, family="multinomial", labelCol="label").fit(
         hashed.where("not held").coalesce(1)
     )
-    found = _with_grams(notices.select("text")).select(F.explode("grams").alias("gram")).where(F.col("gram").contains(" ")).distinct()
+    said = _with_grams(notices.select("text")).select(F.explode("grams").alias("gram"))
+    found = said.where(F.col("gram").rlike(f"[a-z0-9]{{{LONG_WORD},}}") & F.col("gram").contains(" ")).distinct()
     seen = examples.where(F.col("label") == CLASSES.index(NONE)).select(F.explode("grams").alias("gram")).distinct()
     # At most the word pairs of the notices above.
     telling = tuple(sorted(r.gram for r in found.join(seen, "gram", "left_anti").collect()))
@@ -182,7 +200,10 @@ def _notices(spark: SparkSession) -> DataFrame:
     """label, text, n: every grant of every name, and all texts and identifiers; n is null for parts and other forms of them."""
     names = [(CLASSES.index(f), name) for f, named in FAMILIES.items() for name in named]
     names += [(CLASSES.index(UNKNOWN), name) for name in OTHER_NAMES]
+    names += [(CLASSES.index(UNKNOWN), f"the {name}") for name in OTHERS]
     whole_ones = [(label, grant.format(name)) for label, name in names for grant in GRANTS]
+    denied = [name.removeprefix("the ") for named in FAMILIES.values() for name in named]
+    whole_ones += [(CLASSES.index(UNKNOWN), denial.format(name)) for name in denied for denial in DENIALS]
     others = []
     for family, text in _texts() + _identifiers():
         label = CLASSES.index(family)
@@ -247,47 +268,67 @@ def _temperature(model: LogisticRegressionModel, held: DataFrame) -> float:
     return best.t if best else 1.0
 
 
-def findings(documents: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, version, paragraph, family, p, overlap of all paragraphs that hold a notice; a wrapped one stands at its first line."""
+def findings(documents: DataFrame, classifier: Classifier, everywhere: bool = False) -> DataFrame:
+    """doc_id, version, paragraph, family, p, overlap of all paragraphs that hold a notice; a wrapped one stands at its first line.
+
+    With `everywhere` lines without a word that every finding has are looked at too, which finds the same.
+    """
     kept = ["grams", "text", "before", "after"]
-    rows = _with_grams(paragraphs(documents))
+    key = ["doc_id", "version", "paragraph"]
+    some = documents if everywhere else documents.where(classifier.speaking(whole("text")))
+    lines = paragraphs(some) if everywhere else paragraphs(some).where(classifier.speaking(F.col("text")))
+    rows = _with_grams(lines)
     margin = F.col("margin")
     # A class with more than half of the probability has the largest margin.
     plain = F.element_at(margin, CLASSES.index(NONE) + 1) > F.array_max(F.slice(margin, 1, CLASSES.index(NONE))) + ODDS * classifier.temperature
-    maybe = classifier.margins(rows).where(~plain)
-    scored = staged(maybe.select("*", _softmax(margin, F.lit(classifier.temperature)).alias("p")).drop("margin"), "licence-scored")
+    maybe = classifier.margins(rows).where(~plain).dropDuplicates(key)
+    scored = maybe.select("*", _softmax(margin, F.lit(classifier.temperature)).alias("p")).drop("margin")
+    scored = staged(scored.withColumn("n", F.monotonically_increasing_id()), "licence-scored")
     p_none = F.element_at("p", CLASSES.index(NONE) + 1)
     known = F.slice("p", 1, len(FAMILIES))
     best = F.array_max(known)
     at = F.array_position(known, best).cast("int")
     notices = scored.where(p_none < 0.5).select(
-        "doc_id", "version", "paragraph", *kept, best.alias("p"), F.element_at(F.array(*map(F.lit, FAMILIES)), at).alias("likely")
+        *key, *kept, "n", best.alias("p"), F.element_at(F.array(*map(F.lit, FAMILIES)), at).alias("likely")
     )
-    compared = notices.withColumn("shares", _shares(F.col("grams"))).withColumn("top", F.array_max("shares"))
+    compared = _compared(notices, "n").withColumn("top", F.array_max("shares")).withColumn("name", _named(F.col("text")))
     own = F.array_max(F.filter("shares", lambda t: t["family"] == F.col("likely")))
-    compared = compared.withColumn("own", own).withColumn("overlap", F.col("own.share"))
+    compared = compared.withColumn("own", own).withColumn("overlap", F.coalesce("own.share", F.lit(0.0)))
     # Of templates that are held alike the longest counts.
     rank = lambda t: F.struct(F.col(t)["share"], F.col(t)["size"])
-    sure = (F.col("p") >= LEAST_PROBABILITY) & (F.col("overlap") >= LEAST_OVERLAP) & (rank("own") >= rank("top")) & ~_tied()
-    named = F.col("top.whole") & (F.col("top.share") == 1)
-    family = F.when(named, F.col("top.family")).when(sure, F.col("likely")).otherwise(UNKNOWN)
-    overlap = F.when(named, F.col("top.share")).otherwise(F.col("overlap"))
+    probable = F.col("p") >= LEAST_PROBABILITY
+    by_name = probable & (F.col("name") == F.col("likely"))
+    by_text = probable & (F.col("overlap") >= LEAST_OVERLAP) & (rank("own") >= rank("top")) & ~_tied()
+    by_identifier = F.col("top.whole") & (F.col("top.share") == 1)
+    family = F.when(by_identifier, F.col("top.family")).when(by_name, F.col("likely"))
+    family = family.when(by_text & F.col("name").isNull(), F.col("likely")).otherwise(UNKNOWN)
+    overlap = F.when(by_identifier, F.col("top.share")).when(by_name, 1.0).otherwise(F.col("overlap"))
     # Words of plain paragraphs that notices stood among in the training can look like a notice too.
     told = F.size(F.array_intersect("grams", F.split(F.lit("|".join(classifier.telling)), "[|]")))
     speaks = F.arrays_overlap("grams", F.array(*map(F.lit, CUES))) | (told >= LEAST_TELLING)
     alone = staged(
-        compared.select("doc_id", "version", "paragraph", family.alias("family"), "p", overlap.alias("overlap"), *kept)
-        .where((F.col("family") != UNKNOWN) | speaks)
-        .dropDuplicates(["doc_id", "version", "paragraph"]),
+        compared.select(*key, family.alias("family"), "p", overlap.alias("overlap"), *kept)
+        .where((F.col("family") != UNKNOWN) | speaks | F.col("name").isNotNull()),
         "licence-alone",
     )
     return _wrapped(documents, alone)
 
 
+def _named(text: Column) -> Column:
+    """The family of the longest licence name in the text, `UNKNOWN` of another licence or where it is denied; null without a name."""
+    signs = F.regexp_replace(lower_ascii(text), "[^a-z0-9.]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(signs, r"\.(?![0-9])|(?<![0-9])\.", " "), " +", " ")
+    found = F.regexp_extract_all(plain, F.lit(f"({NAME})"), F.lit(1))
+    longest = F.element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), 1)
+    name = F.when(F.size(found) > 0, longest)
+    before = F.substr(plain, F.lit(1), F.instr(plain, name) - 1)
+    families = [F.when(name.isin(*[n for n, f in NAMES.items() if f == family]), F.lit(family)) for family in FAMILIES]
+    return F.when(name.isNotNull(), F.when(before.rlike(DENIED), F.lit(UNKNOWN)).otherwise(F.coalesce(*families, F.lit(UNKNOWN))))
+
+
 def _templates() -> list[tuple[str, bool, list[str]]]:
     """Family, whether all of it must be there, words and word pairs."""
-    texts = [(f, False, name.removeprefix("the ")) for f, names in FAMILIES.items() for name in names]
-    texts += [(f, False, text) for f, text in _texts()] + [(f, True, text) for f, text in _identifiers()]
+    texts = [(f, False, text) for f, text in _texts()] + [(f, True, text) for f, text in _identifiers()]
     out = []
     for family, all_of_it, text in texts:
         tokens = re.findall("[a-z0-9]+", text.lower())
@@ -295,24 +336,35 @@ def _templates() -> list[tuple[str, bool, list[str]]]:
     return out
 
 
-def _template_column() -> Column:
+def _family_grams() -> Column:
+    """For each family the words and word pairs of its names and templates."""
+    held: dict[str, list[str]] = {}
+    names = [(f, re.findall("[a-z0-9]+", name.lower())) for f, named in FAMILIES.items() for name in named]
+    for family, grams_ in [(f, t + [f"{a} {b}" for a, b in zip(t, t[1:])]) for f, t in names] + [(f, g) for f, _, g in _templates()]:
+        held.setdefault(family, []).extend(grams_)
     return F.array(
-        *[
-            F.struct(F.lit(f).alias("family"), F.lit(w).alias("whole"), F.split(F.lit("|".join(g)), "[|]").alias("grams"))
-            for f, w, g in _templates()
-        ]
+        *[F.struct(F.lit(f).alias("family"), F.split(F.lit("|".join(dict.fromkeys(g))), "[|]").alias("grams")) for f, g in held.items()]
     )
 
 
-def _shares(paragraph: Column) -> Column:
-    """share, size, whole, family of each template: the share of its words and word pairs that are in the paragraph."""
-
-    def share(t: Column) -> Column:
-        part = F.size(F.array_intersect(t["grams"], paragraph)) / F.size(t["grams"])
-        held = F.when(t["whole"] & (part < 1), 0.0).otherwise(part)
-        return F.struct(held.alias("share"), F.size(t["grams"]).alias("size"), t["whole"].alias("whole"), t["family"].alias("family"))
+def _compared(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` (with grams and a unique key) and shares: share, size, whole, family of each template that they hold some of.
 
-    return F.transform(_template_column(), share)
+    The share is that of the words and word pairs of the template. These, some thousands, are
+    broadcast; the rows' own meet them by a join.
+    """
+    templates = _templates()
+    grams_of = [(gram, i) for i, (_, _, held) in enumerate(templates) for gram in held]
+    kinds = [(i, family, all_of_it, len(held)) for i, (family, all_of_it, held) in enumerate(templates)]
+    spark = rows.sparkSession
+    by_gram = F.broadcast(spark.createDataFrame(grams_of, "gram string, template int"))
+    by_template = F.broadcast(spark.createDataFrame(kinds, "template int, family string, whole boolean, size int"))
+    met = rows.select(key, F.explode("grams").alias("gram")).join(by_gram, "gram").groupBy(key, "template").agg(F.count("*").alias("held"))
+    part = F.col("held") / F.col("size")
+    share = F.struct(F.when(F.col("whole") & (part < 1), 0.0).otherwise(part).alias("share"), "size", "whole", "family")
+    shares = met.join(by_template, "template").groupBy(key).agg(F.collect_list(share).alias("shares"))
+    none = F.array().cast("array<struct<share: double, size: int, whole: boolean, family: string>>")
+    return rows.join(shares, key, "left").withColumn("shares", F.coalesce("shares", none))
 
 
 def _wrapped(documents: DataFrame, alone: DataFrame) -> DataFrame:
@@ -345,20 +397,22 @@ def _wrapped(documents: DataFrame, alone: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("paragraph", "p", "overlap", "grams"))).alias("members"),
     )
     text = F.array_join(F.transform(F.filter("lines", lambda x: F.trim(x["text"]) != ""), lambda x: x["text"]), " ")
-    blocks = blocks.withColumn("tokens", words(text)).withColumn("shares", _shares(grams(F.col("tokens")))).drop("tokens", "lines")
-    blocks = blocks.withColumn("top", F.array_max("shares")).withColumn("tied", _tied()).drop("shares")
-    found = (F.col("top.share") >= LEAST_OVERLAP) & (F.col("top.family") != UNKNOWN) & ~F.col("tied")
-    of_family = F.flatten(F.transform(F.filter(_template_column(), lambda t: t["family"] == F.col("top.family")), lambda t: t["grams"]))
-    blocks = blocks.withColumn("texts", F.when(found, F.array_distinct(of_family)).otherwise(F.array().cast("array<string>")))
+    blocks = blocks.withColumn("name", _named(text)).withColumn("tokens", words(text)).withColumn("grams", grams(F.col("tokens")))
+    blocks = staged(blocks.drop("tokens", "lines").withColumn("n", F.monotonically_increasing_id()), "licence-blocks")
+    blocks = _compared(blocks, "n").drop("n", "grams").withColumn("top", F.array_max("shares")).withColumn("tied", _tied()).drop("shares")
+    by_text = (F.col("top.share") >= LEAST_OVERLAP) & (F.col("top.family") != UNKNOWN) & ~F.col("tied") & F.col("name").isNull()
+    blocks = blocks.withColumn("family", F.when(F.col("name") != UNKNOWN, F.col("name")).when(by_text, F.col("top.family")))
+    of_family = F.flatten(F.transform(F.filter(_family_grams(), lambda t: t["family"] == F.col("family")), lambda t: t["grams"]))
+    blocks = blocks.withColumn("texts", F.when(F.col("family").isNotNull(), of_family).otherwise(F.array().cast("array<string>")))
     parts = F.filter("members", lambda m: 2 * F.size(F.array_intersect(m["grams"], F.col("texts"))) >= F.size(m["grams"]))
     rows = blocks.withColumn("parts", F.transform(parts, lambda m: m["paragraph"])).select(
-        "doc_id", "version", "top", "parts", F.explode("members").alias("member")
+        "doc_id", "version", F.col("family").alias("whole_family"), F.coalesce("top.share", F.lit(0.0)).alias("held"), "parts", F.explode("members").alias("member")
     )
     at = F.col("member.paragraph")
     first = F.coalesce(at == F.array_min("parts"), F.lit(False))
     rows = rows.where(first | ~F.array_contains("parts", at)).select(
-        "doc_id", "version", at.alias("paragraph"), F.when(first, F.col("top.family")).otherwise(UNKNOWN).alias("family"),
-        F.col("member.p").alias("p"), F.when(first, F.col("top.share")).otherwise(F.col("member.overlap")).alias("overlap"),
+        "doc_id", "version", at.alias("paragraph"), F.when(first, F.col("whole_family")).otherwise(UNKNOWN).alias("family"),
+        F.col("member.p").alias("p"), F.when(first, F.col("held")).otherwise(F.col("member.overlap")).alias("overlap"),
     )
     return alone.where(~is_unknown).select(result).unionByName(rows)
 
