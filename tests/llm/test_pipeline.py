@@ -69,3 +69,30 @@ def test_packing_holds_all_documents(written):
 
 def test_run(spark, folder, written):
     assert rows(corpus_pipeline.run(spark, folder).drop("sequence_id", "offset")) == rows(written[1][5].drop("sequence_id", "offset"))
+
+
+EDGE = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, doc struct<a: int>, component_id string"
+EDGE_ROWS = [
+    (None, "no id here, but some words all the same", "en", "s", 39, True, (1,), "x"),
+    (1, None, "en", "s", None, False, None, None),
+    (2, "", None, None, 0, True, (1,), "x"),
+    (3, "one line\nanother line\nand a third line of words", "en", "s", 48, None, (1,), None),
+    (3, "one line\nanother line\nand a third line of words", "en", "s", 48, None, (1,), None),
+    (4, "word " * 30_000, "en", "t", 150_000, True, (2,), "y"),
+]
+
+
+@pytest.mark.parametrize("rows", [EDGE_ROWS, []])
+def test_stages_with_odd_rows(spark, tmp_path, rows):
+    """Null ids and texts, repeated rows, a very long text, clashing columns, and an empty table."""
+    docs = spark.createDataFrame(rows, EDGE)
+    spark.createDataFrame([(3, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        if name != "mixing":  # which draws
+            texts = {(r.doc_id, r.text or "") for r in out.collect()}
+            assert texts <= {(r[0], r[1] or "") for r in rows} | {(3, "")}, name
+            assert {i for i, _ in texts} == {r[0] for r in rows}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert (sum(r.start == 0 for r in last)) == len(rows)
