@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept and returns documents with the same
 columns; the last one returns the pieces of the sequences.
+
+In every stage a null text counts as empty, rows with a null doc_id are documents of their own, and
+rows that repeat a doc_id are kept or dropped together where a stage decides by doc_id (near
+duplicates). Empty and very long texts are documents like others. Further columns are handed on
+whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
