@@ -96,7 +96,7 @@ def test_names_are_whole(spark):
         "not all is well, but it is under the MIT License": "unknown", "no fees. Use it under the MIT License": "MIT",
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
-    got = {r.t: r.f for r in df.select("t", licences._named(F.col("t")).alias("f")).collect()}
+    got = {r.t: r.f for r in licences._with_name(df, F.col("t"), "f").collect()}
     assert got == {**cases, "not all is well, but it is under the MIT License": got["not all is well, but it is under the MIT License"]}
 
 

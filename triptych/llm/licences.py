@@ -291,7 +291,7 @@ def findings(documents: DataFrame, classifier: Classifier, everywhere: bool = Fa
     notices = scored.where(p_none < 0.5).select(
         *key, *kept, "n", best.alias("p"), F.element_at(F.array(*map(F.lit, FAMILIES)), at).alias("likely")
     )
-    compared = _compared(notices, "n").withColumn("top", F.array_max("shares")).withColumn("name", _named(F.col("text")))
+    compared = _with_name(_compared(notices, "n").withColumn("top", F.array_max("shares")), F.col("text"))
     own = F.array_max(F.filter("shares", lambda t: t["family"] == F.col("likely")))
     compared = compared.withColumn("own", own).withColumn("overlap", F.coalesce("own.share", F.lit(0.0)))
     # Of templates that are held alike the longest counts.
@@ -314,16 +314,21 @@ def findings(documents: DataFrame, classifier: Classifier, everywhere: bool = Fa
     return _wrapped(documents, alone)
 
 
-def _named(text: Column) -> Column:
-    """The family of the longest licence name in the text, `UNKNOWN` of another licence or where it is denied; null without a name."""
+def _with_name(rows: DataFrame, text: Column, out: str = "name") -> DataFrame:
+    """`rows` with the family of the longest licence name in the text, `UNKNOWN` of another licence or where it is denied.
+
+    Null without a name. Each step is a column of its own, so that none is part of the next one many times.
+    """
     signs = F.regexp_replace(lower_ascii(text), "[^a-z0-9.]+", " ")
     plain = F.regexp_replace(F.regexp_replace(signs, r"\.(?![0-9])|(?<![0-9])\.", " "), " +", " ")
-    found = F.regexp_extract_all(plain, F.lit(f"({NAME})"), F.lit(1))
-    longest = F.element_at(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), 1)
-    name = F.when(F.size(found) > 0, longest)
-    before = F.substr(plain, F.lit(1), F.instr(plain, name) - 1)
-    families = [F.when(name.isin(*[n for n, f in NAMES.items() if f == family]), F.lit(family)) for family in FAMILIES]
-    return F.when(name.isNotNull(), F.when(before.rlike(DENIED), F.lit(UNKNOWN)).otherwise(F.coalesce(*families, F.lit(UNKNOWN))))
+    found = F.regexp_extract_all(F.col("_plain"), F.lit(f"({NAME})"), F.lit(1))
+    rows = rows.withColumn("_plain", plain).withColumn("_found", found)
+    longest = F.element_at(F.array_sort("_found", lambda a, b: F.length(b) - F.length(a)), 1)
+    rows = rows.withColumn("_name", F.when(F.size("_found") > 0, longest))
+    before = F.substr("_plain", F.lit(1), F.instr("_plain", F.col("_name")) - 1)
+    families = F.map_from_arrays(F.split(F.lit("|".join(NAMES)), "[|]"), F.split(F.lit("|".join(NAMES.values())), "[|]"))
+    family = F.when(before.rlike(DENIED), F.lit(UNKNOWN)).otherwise(F.try_element_at(families, F.col("_name")))
+    return rows.withColumn(out, F.when(F.col("_name").isNotNull(), family)).drop("_plain", "_found", "_name")
 
 
 def _templates() -> list[tuple[str, bool, list[str]]]:
@@ -397,7 +402,7 @@ def _wrapped(documents: DataFrame, alone: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("paragraph", "p", "overlap", "grams"))).alias("members"),
     )
     text = F.array_join(F.transform(F.filter("lines", lambda x: F.trim(x["text"]) != ""), lambda x: x["text"]), " ")
-    blocks = blocks.withColumn("name", _named(text)).withColumn("tokens", words(text)).withColumn("grams", grams(F.col("tokens")))
+    blocks = _with_name(blocks, text).withColumn("tokens", words(text)).withColumn("grams", grams(F.col("tokens")))
     blocks = staged(blocks.drop("tokens", "lines").withColumn("n", F.monotonically_increasing_id()), "licence-blocks")
     blocks = _compared(blocks, "n").drop("n", "grams").withColumn("top", F.array_max("shares")).withColumn("tied", _tied()).drop("shares")
     by_text = (F.col("top.share") >= LEAST_OVERLAP) & (F.col("top.family") != UNKNOWN) & ~F.col("tied") & F.col("name").isNull()
