@@ -134,7 +134,7 @@ PATTERNS = ("^{0}", "{0}.*{1}$", "{0} ?.{2}", "[{0}]+ {1}", "{0}|{1}", "{0} (",
         asked AS (
           SELECT request_id, media_type, CASE request_id % 7 WHEN 0 THEN '^' || w0 WHEN 1 THEN w0 || '.*' || w1 || '$'
             WHEN 2 THEN w0 || ' ?.' || substr(w1, 2) WHEN 3 THEN '[' || w0 || ']+ ' || w1 WHEN 4 THEN w0 || '|' || w1
-            WHEN 6 THEN w0 || '\s\w*' || substr(w1, 2) END AS pattern
+            WHEN 6 THEN w0 || '\\s\\w*' || substr(w1, 2) END AS pattern
           FROM words),
         matches AS (
           SELECT request_id, title, min(item_id) AS first_id
