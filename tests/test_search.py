@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from triptych.operators import audit, encode, suggest
+from triptych.operators import audit, encode, similarity, suggest
 from triptych.operators.lookup import title_lookup
 from triptych.operators.patterns import matching, needed_trigrams, title_postings
 from triptych.operators.similarity import cosine_topk
@@ -57,6 +57,44 @@ def test_more_wanted_than_there_is(spark, settings):
     assert cosine_topk(asked, stored.limit(0), 5, **settings).count() == 0
 
 
+def test_parts_move_the_other_side_a_bounded_number_of_times(spark):
+    """Once it went to each block of the requests, 1,758 times for these."""
+    from triptych.operators.grid import parts_of
+
+    assert parts_of(7_200_000, 4096, 125_000) == 64
+    assert parts_of(80_000_000, 4096, 125_000) == 640
+    assert parts_of(10_000, 4096, 125_000) == 3 and parts_of(0, 4096, 125_000) == 1
+
+
+def test_candidates_that_differ_by_less_than_single_precision():
+    """Also rows that are no numbers, very long ones, and more targets than a tile holds."""
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=64) + 1e-6 * rng.normal(size=(6000, 64))
+    targets = near / np.linalg.norm(near, axis=1, keepdims=True)
+    vectors = np.concatenate([targets[:9], -targets[:3]])
+    wanted = np.round(vectors @ targets.T, 6)
+    for length, odd in ((1.0, None), (1.0, np.nan), (1e20, None)):
+        given, items = targets * length, np.arange(6000)
+        if odd is not None:
+            given, items = np.concatenate([given, np.full((2, 64), odd)]), np.arange(6002)
+        best = similarity.BestRows(len(vectors), 7)
+        best.add(vectors, items[:2500], given[:2500])
+        best.add(vectors, items[2500:], given[2500:])
+        if length == 1.0:
+            order = np.lexsort((np.broadcast_to(np.arange(6000), wanted.shape), -wanted), axis=1)[:, :7]
+            assert (best.item == order).all() and np.allclose(best.score, np.take_along_axis(wanted, order, 1), atol=1.1e-6)
+        else:
+            assert (best.score > 0).sum() == 63 and np.isfinite(best.score).all()
+
+
+@pytest.mark.parametrize("settings", STRATEGIES[2:])
+def test_vectors_of_another_width_are_refused_in_blocks(spark, settings):
+    asked = vector_frame(spark, np.eye(3, dtype=np.float32), ("request_id", "vector"))
+    stored = vector_frame(spark, np.eye(2, dtype=np.float32), ("item_id", "embedding"))
+    with pytest.raises((PySparkException, ValueError)):
+        cosine_topk(asked, stored, 1, **settings).count()
+
+
 @pytest.mark.parametrize("settings", STRATEGIES)
 def test_rows_without_a_vector_take_no_part(spark, settings):
     targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)

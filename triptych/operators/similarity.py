@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triptych.operators.grid import block_against_block, collect_if_small
+from triptych.operators.grid import collect_if_small, parts_against_blocks
 from triptych.staging import staged
 
 # Scores are ranked at this precision, so that the order does not hang on the last float digits.
 DIGITS = 6
 MARGIN = 2 * 10.0**-DIGITS
 # Scores held at once by a task, and the targets among them.
-TILE_CELLS = 4_000_000
+TILE_CELLS = 1_000_000
 TILE_TARGETS = 4096
+# Lengths up to this one are screened in single precision.
+LONGEST = 1e15
+# Of so many cells one candidate at most is scored by itself.
+SPARSE = 64
 BROADCAST_FLOATS = 8_000_000
 BLOCK_ROWS = 16_384
 HIT = "request_id bigint, item_id bigint, score double"
@@ -40,9 +44,10 @@ def cosine_topk(
     inside a task that keeps its best k per request: pairs never become rows. Rows without a vector
     take no part (the audit reports them), and a `top_k` beyond the targets gives all of them.
 
-    Targets of a checked size are broadcast, and each request is finished where it is, without a
-    shuffle. Else requests of a checked size are broadcast to where the targets are. When both are
-    large, blocks of one meet blocks of the other.
+    Targets of a checked size are broadcast to the requests, else requests of a checked size to the
+    targets; the other side is dealt out evenly, since a small file would be the work of one task.
+    When both are large, parts of the requests that a task can hold meet the targets, at most
+    `block_rows` of them at a time.
     """
     wanted = F.col("top_k") if top_k is None else F.lit(top_k)
     asked = requests.where(F.col("vector").isNotNull()).select(
@@ -60,7 +65,9 @@ def cosine_topk(
     if small_requests is not None:
         hits = _targets_in_place(stored, small_requests, dim)
     else:
-        hits = block_against_block(asked, stored, "request_id", "item_id", _block_hits, HIT, block_rows)
+        held_rows = BROADCAST_FLOATS // dim
+        left, right = packed(asked, "vector", dim), packed(stored, "embedding", dim)
+        hits = parts_against_blocks(left, right, "request_id", _part_search(dim), HIT, block_rows, held_rows)
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "item_id")
     ranked = hits.withColumn("rank", F.row_number().over(best))
     if top_k is not None:
@@ -104,14 +111,32 @@ def _targets_in_place(targets: DataFrame, requests: pa.Table, dim: int) -> DataF
     return targets.mapInArrow(search, HIT)
 
 
-def _block_hits(requests: pa.Table, targets: pa.Table) -> pa.Table:
-    limits = _ids(requests, "top_k")
-    best = BestRows(requests.num_rows, int(limits.max(initial=0)))
-    if requests.num_rows and targets.num_rows:
-        dim = len(targets.column("embedding")[0])
+def _part_search(dim: int) -> Callable[[pa.Table, Iterator[pa.RecordBatch]], pa.Table]:
+    def search(requests: pa.Table, blocks: Iterator[pa.RecordBatch]) -> pa.Table:
+        limits = _ids(requests, "top_k")
+        best = BestRows(requests.num_rows, int(limits.max(initial=0)))
         vectors = _unit_rows(_matrix(requests, "vector", dim))
-        best.add(vectors, _ids(targets, "item_id"), _matrix(targets, "embedding", dim))
-    return best.table(_ids(requests, "request_id"), limits)
+        for block in blocks:
+            best.add(vectors, _ids(block, "item_id"), _matrix(block, "embedding", dim))
+        return best.table(_ids(requests, "request_id"), limits)
+
+    return search
+
+
+def packed(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Vectors as the bytes of their numbers, which are moved as a whole and not one by one."""
+    kinds = ", ".join(f"`{name}` {'binary' if name == vector else kind}" for name, kind in df.dtypes)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = np.ascontiguousarray(_matrix(batch, vector, dim))
+            ends = np.arange(len(numbers) + 1, dtype=np.int32) * (numbers.itemsize * dim)
+            buffers = [None, pa.py_buffer(ends), pa.py_buffer(numbers)]
+            as_bytes = pa.Array.from_buffers(pa.binary(), len(numbers), buffers)
+            columns = [as_bytes if name == vector else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(pack, kinds)
 
 
 def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
@@ -125,6 +150,10 @@ def _ids(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
 
 def _matrix(table: pa.Table | pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     column = _column(table, name)
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        held = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) else np.empty(0)
+        return held.view(np.float64).reshape(len(column), dim)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if flat.size != len(column) * dim:
         raise ValueError(f"{name}: every vector must have {dim} elements")
@@ -148,6 +177,19 @@ def _below_best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, -k, axis=1)[:, -k]
 
 
+def _screening(vectors: np.ndarray, targets: np.ndarray) -> tuple[type, float]:
+    """The precision to screen in, and how far its scores may be off at most.
+
+    A sum of n products in single precision is off by less than (n + 2) * 2**-24 of the product of
+    both lengths; twice that leaves room for the bound itself to be rounded. Rows that are not
+    numbers never score, and very long ones are screened in double precision, as they are scored.
+    """
+    longest = [float(np.fmax.reduce(np.sqrt((m * m).sum(axis=1)), initial=0.0)) for m in (vectors, targets)]
+    if max(longest) > LONGEST:
+        return np.float64, 0.0
+    return np.float32, 2 * (vectors.shape[1] + 4) * 2.0**-24 * longest[0] * longest[1]
+
+
 class BestRows:
     """The best k targets seen so far by each request of a block, best first."""
 
@@ -157,17 +199,27 @@ class BestRows:
         self.item = np.zeros((requests, 0), dtype=np.int64)
 
     def add(self, vectors: np.ndarray, items: np.ndarray, targets: np.ndarray) -> None:
-        """Score all requests against more targets, one tile of bounded size at a time."""
+        """Score all requests against more targets, one tile of bounded size at a time.
+
+        Tiles are screened in single precision, with its largest possible error as slack; what is
+        left is scored in double precision.
+        """
         self.seen += len(items)
         self._widen(min(self.k, self.seen))
         requests, k = self.score.shape
-        if not k:
+        if not k or not len(items):
             return
+        kind, slack = _screening(vectors, targets)
+        coarse, coarse_targets = vectors.astype(kind), targets.astype(kind)
         for t in range(0, len(items), TILE_TARGETS):
-            tile, ids = targets[t : t + TILE_TARGETS].T, items[t : t + TILE_TARGETS]
-            rows = TILE_CELLS // len(ids)
+            tile, ids = targets[t : t + TILE_TARGETS], items[t : t + TILE_TARGETS]
+            coarse_tile = coarse_targets[t : t + TILE_TARGETS].T
+            rows = max(1, TILE_CELLS // len(ids))
+            scores = np.empty((min(rows, requests), len(ids)), dtype=kind)
             for r in range(0, requests, rows):
-                self._merge(r, ids, vectors[r : r + rows] @ tile)
+                part = coarse[r : r + rows]
+                found = np.matmul(part, coarse_tile, out=scores[: len(part)])
+                self._merge(r, ids, vectors[r : r + rows], tile, found, slack)
 
     def _widen(self, k: int) -> None:
         """Room for k targets; there are never more places than targets seen."""
@@ -176,25 +228,32 @@ class BestRows:
             self.score = np.pad(self.score, ((0, 0), (0, more)), constant_values=-np.inf)
             self.item = np.pad(self.item, ((0, 0), (0, more)))
 
-    def _merge(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    def _merge(
+        self, first: int, ids: np.ndarray, vectors: np.ndarray, tile: np.ndarray, coarse: np.ndarray, slack: float
+    ) -> None:
         """Take over the scores of some requests that are among their best k.
 
-        Candidates are picked on unrounded scores with a margin; only they are rounded and sorted.
+        Candidates are picked on coarse scores with a margin; only they are scored, rounded and sorted.
         """
         k = self.score.shape[1]
-        known = slice(first, first + len(scores))
-        floor = self.score[known, -1]
-        candidate = scores >= (floor - MARGIN)[:, None]
-        if scores.shape[1] > k and np.count_nonzero(candidate) > 4 * k * len(scores):
-            candidate &= scores >= (_below_best(scores, k) - MARGIN)[:, None]
-        row, column = np.nonzero(candidate)
-        if not len(row):
+        known = slice(first, first + len(coarse))
+        floor = (self.score[known, -1] - MARGIN - slack).astype(coarse.dtype)
+        candidate = coarse >= floor[:, None]
+        if coarse.shape[1] > k and np.count_nonzero(candidate) > 4 * k * len(coarse):
+            candidate &= coarse >= (_below_best(coarse, k) - MARGIN - 2 * slack).astype(coarse.dtype)[:, None]
+        place = np.flatnonzero(candidate)
+        if not len(place):
             return
+        row, column = np.divmod(place, coarse.shape[1])
+        if len(place) * SPARSE > coarse.size:
+            exact = (vectors @ tile.T).ravel()[place]
+        else:
+            exact = np.einsum("ij,ij->i", vectors[row], tile[column])
         old_row, old_place = np.nonzero(self.score[known] > -np.inf)
         all_rows = np.concatenate([old_row, row])
         all_items = np.concatenate([self.item[known][old_row, old_place], ids[column]])
         # Adding zero turns -0.0 into 0.0.
-        fresh = np.round(scores[row, column], DIGITS) + 0.0
+        fresh = np.round(exact, DIGITS) + 0.0
         all_scores = np.concatenate([self.score[known][old_row, old_place], fresh])
         order = np.lexsort((all_items, -all_scores, all_rows))
         all_rows = all_rows[order]
