@@ -95,6 +95,21 @@ def test_vectors_of_another_width_are_refused_in_blocks(spark, settings):
         cosine_topk(asked, stored, 1, **settings).count()
 
 
+def many_vectors(spark, names):
+    """20,000 of them in one file, as it were."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i).cast("float"))
+    return spark.range(0, 20_000, 1, 1).select(F.col("id").alias(names[0]), vector.alias(names[1]))
+
+
+def tasks_of(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_requests_of_one_file_are_searched_by_several_tasks(spark):
+    stored = vector_frame(spark, np.eye(64, dtype=np.float32)[:5], ("item_id", "embedding"))
+    assert tasks_of(cosine_topk(many_vectors(spark, ("request_id", "vector")), stored, 1)) > 1
+
+
 @pytest.mark.parametrize("settings", STRATEGIES)
 def test_rows_without_a_vector_take_no_part(spark, settings):
     targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)

@@ -93,7 +93,7 @@ def _requests_in_place(requests: DataFrame, targets: pa.Table, dim: int) -> Data
             best.add(_unit_rows(_matrix(batch, "vector", dim)), items, matrix)
             yield from best.table(_ids(batch, "request_id"), limits, ranked=True).to_batches()
 
-    return requests.mapInArrow(search, RANKED)
+    return requests.repartition("request_id").mapInArrow(search, RANKED)
 
 
 def _targets_in_place(targets: DataFrame, requests: pa.Table, dim: int) -> DataFrame:
