@@ -110,6 +110,14 @@ def test_requests_of_one_file_are_searched_by_several_tasks(spark):
     assert tasks_of(cosine_topk(many_vectors(spark, ("request_id", "vector")), stored, 1)) > 1
 
 
+def test_targets_of_one_file_are_searched_by_several_tasks(spark):
+    from triptych.operators.similarity import _targets_in_place
+
+    asked = vector_frame(spark, np.eye(64, dtype=np.float32)[:5], ("request_id", "vector")).withColumn("top_k", F.lit(1))
+    hits = _targets_in_place(many_vectors(spark, ("item_id", "embedding")), asked.toArrow(), 64)
+    assert hits.groupBy("request_id").count().where("count > 1").count() == 5
+
+
 @pytest.mark.parametrize("settings", STRATEGIES)
 def test_rows_without_a_vector_take_no_part(spark, settings):
     targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)

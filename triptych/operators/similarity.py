@@ -108,7 +108,7 @@ def _targets_in_place(targets: DataFrame, requests: pa.Table, dim: int) -> DataF
             best.add(vectors, _ids(batch, "item_id"), _matrix(batch, "embedding", dim))
         yield from best.table(request_ids, limits).to_batches()
 
-    return targets.mapInArrow(search, HIT)
+    return targets.repartition("item_id").mapInArrow(search, HIT)
 
 
 def _part_search(dim: int) -> Callable[[pa.Table, Iterator[pa.RecordBatch]], pa.Table]:
