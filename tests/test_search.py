@@ -146,6 +146,17 @@ def test_repeated_summaries_show_one_card(spark):
     assert recommend.result_cards(results, texts).count() == 1
 
 
+def test_cards_of_texts_that_are_equal_for_long(spark):
+    """Whole texts are neither compared nor joined."""
+    names = ["a", "b", "c", "d", "e"]
+    results = spark.createDataFrame([(1, i + 1, n, "Italy", 0.5, 10) for i, n in enumerate(names)], "request_id int, rank int, name string, country string, score double, population int")
+    long = "ü" * 300
+    said = [("a", long + "z"), ("a", long + "b"), ("b", long), ("b", long + "b"), ("c", None), ("c", "y" * 51), ("d", "x" * 50)]
+    cards = recommend.result_cards(results, spark.createDataFrame(said, "name string, text string"))
+    assert {r["rank"]: r.excerpt for r in cards.collect()} == {1: "ü" * 297 + "...", 2: long, 3: "y" * 51, 4: None, 5: None}
+    assert "min(substring(text" in cards._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vectors_of_another_width_are_refused(spark):
     asked = vector_frame(spark, np.eye(3, dtype=np.float32), ("request_id", "vector"))
     stored = vector_frame(spark, np.eye(2, dtype=np.float32), ("item_id", "embedding"))

@@ -24,6 +24,8 @@ from triptych.staging import staged
 # Status texts and the default number of results.
 FOUND, NOT_FOUND = "✅ Found: ", "❌ Not found: "
 TOP_K = 5
+# Fixed value: longest text of a card.
+LONGEST_EXCERPT = 300
 
 REQUEST_SCHEMA = (
     "request_id bigint, movie_title string, book_title string, music_title string, "
@@ -183,17 +185,21 @@ def result_cards(results: DataFrame, summaries: DataFrame | None = None) -> Data
     country = F.coalesce("country", F.lit("Unknown"))
     heading = F.concat(rank_medal(F.col("rank")), F.lit(" "), F.col("rank").cast("string"), F.lit(". "), name)
     if summaries is None:
-        results = results.withColumn("_summary", F.lit(None).cast("string"))
+        results = results.withColumn("_excerpt", F.lit(None).cast("string"))
     else:
-        texts = summaries.groupBy("name").agg(F.min("text").alias("_summary"))
-        results = results.join(texts, "name", "left")
+        # One character more than is shown tells whether a text is longer, and beginnings are in the
+        # order of their texts. So whole texts go neither to the first of a name nor to every result.
+        beginning = F.substring("text", 1, LONGEST_EXCERPT + 1)
+        texts = summaries.groupBy("name").agg(F.min(beginning).alias("_summary"))
+        excerpts = texts.select("name", excerpt(F.col("_summary"), longest=LONGEST_EXCERPT).alias("_excerpt"))
+        results = results.join(excerpts, "name", "left")
     return results.select(
         "request_id",
         F.col("rank").cast("int").alias("rank"),
         F.concat(heading, F.lit(", "), country).alias("heading"),
         F.concat(F.lit("Match: "), F.format_number("score", 4)).alias("match"),
         population_badge(F.col("population")).alias("population_text"),
-        excerpt(F.col("_summary")).alias("excerpt"),
+        F.col("_excerpt").alias("excerpt"),
         placeholder_image(name).alias("image"),
         wiki_link(name).alias("wiki_link"),
         maps_link(name, country).alias("maps_link"),
