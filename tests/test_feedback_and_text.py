@@ -204,3 +204,20 @@ def test_terms_are_weighed_in_a_row(spark):
     factors = tfidf.Weights([[("a", 1.0), ("b a", 3.0), ("b", 2.0), ("a b", 0.5)]])
     found = {r.k: [tuple(t) for t in r.t or []] for r in tfidf.weighed(words, "w", factors, "t").collect()}
     assert found == {1: [("a", 1, 1.0), ("a b", 1, 0.5), ("b", 2, 4.0), ("b a", 1, 3.0)], 2: [], 3: [], 4: []}
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_terms_are_counted_without_a_shuffle_of_their_own(spark):
+    """Rows of one key count together, words of two rows are no pair."""
+    from triptych.operators.tfidf import term_counts
+
+    words = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (1, ["b", "a"]), (2, []), (None, ["a"]), (3, None)], "k bigint, w array<string>")
+    counts = term_counts(words, "k")
+    assert {(r.k, r.term): r.tf for r in counts.collect()} == {(1, "a"): 3, (1, "b"): 3, (1, "a b"): 2, (1, "b a"): 2, (None, "a"): 1}
+    moved = exchanges(counts)
+    assert len(moved) == 1 and "term" not in moved[0]

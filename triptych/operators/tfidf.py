@@ -40,8 +40,11 @@ def document_terms(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
 
 
 def term_counts(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
-    """Occurrences of each term in each document."""
-    return document_terms(words, key, pairs).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Occurrences of each term in each document.
+
+    Rows are dealt by their document before terms are made, so words are moved once and terms never.
+    """
+    return document_terms(words.repartition(key), key, pairs).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _exploded(words: DataFrame, terms: Column) -> DataFrame:
