@@ -221,3 +221,11 @@ def test_terms_are_counted_without_a_shuffle_of_their_own(spark):
     assert {(r.k, r.term): r.tf for r in counts.collect()} == {(1, "a"): 3, (1, "b"): 3, (1, "a b"): 2, (1, "b a"): 2, (None, "a"): 1}
     moved = exchanges(counts)
     assert len(moved) == 1 and "term" not in moved[0]
+
+
+def test_documents_of_one_file_are_tokenised_by_several_tasks(spark):
+    from triptych.operators.tfidf import tokenised
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.md5((F.col("id") * i).cast("string"))))
+    docs = spark.range(0, 2000, 1, 1).select("id", text.alias("text"))
+    assert len(tokenised(docs, "id", "text").inputFiles()) > 1

@@ -1,9 +1,9 @@
 """TF-IDF keywords, and texts emphasised with their own keywords.
 
-The words of every document are written once to count them. No step moves texts or all word pairs
-between machines: counts of words are combined before the shuffle, pairs are counted only where both
-words are frequent enough, and terms are weighed within the row of their document, where they meet
-the vocabulary, whose size is bounded, as constants.
+Documents are dealt out evenly, and their words are written once to count them. No step moves all
+word pairs between machines: counts of words are combined before the shuffle, pairs are counted only
+where both words are frequent enough, and terms are weighed within the row of their document, where
+they meet the vocabulary, whose size is bounded, as constants.
 """
 
 from __future__ import annotations
@@ -28,9 +28,15 @@ BROADCAST_WORDS = 500_000
 PARTS = 64
 
 
+def dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same documents, spread evenly: those of one large file would be the work of one task."""
+    return docs.repartition(F.xxhash64(key, text))
+
+
 def tokenised(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """The words `w` of every document, written once."""
-    return staged(docs.select(key, tokens(F.col(text), stop_words).alias("w")), "words")
+    """The words `w` of every document, written once, by as many tasks as the texts are worth."""
+    even = dealt(docs.select(key, text), key, text)
+    return staged(even.select(key, tokens(F.col(text), stop_words).alias("w")), "words")
 
 
 def document_terms(words: DataFrame, key: str, pairs: bool = True) -> DataFrame:
