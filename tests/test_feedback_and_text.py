@@ -224,8 +224,9 @@ def test_terms_are_counted_without_a_shuffle_of_their_own(spark):
 
 
 def test_documents_of_one_file_are_tokenised_by_several_tasks(spark):
-    from triptych.operators.tfidf import tokenised
+    from triptych.operators.tfidf import emphasised, tokenised
 
     text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.md5((F.col("id") * i).cast("string"))))
     docs = spark.range(0, 2000, 1, 1).select("id", text.alias("text"))
     assert len(tokenised(docs, "id", "text").inputFiles()) > 1
+    assert emphasised(docs, "id", "text").select(F.spark_partition_id()).distinct().count() > 1

@@ -201,12 +201,13 @@ def emphasised(
 ) -> DataFrame:
     """Every text followed by a space and its keywords; without keywords only the space is added.
 
-    When no term at all is frequent enough, the texts stay as they are. The texts are read once more
-    for their words instead of being joined with them.
+    When no term at all is frequent enough, the texts stay as they are. The texts are written beside
+    their words instead of being joined with them.
     """
-    factors = weights(tokenised(docs, key, text, stop_words), **settings)
+    kept = staged(dealt(docs, key, text).withColumn("_w", tokens(F.col(text), stop_words)), "texts")
+    factors = weights(kept.select(key, F.col("_w").alias("w")), **settings)
     if not any(factors.parts):
         return docs.withColumn(out, F.col(text))
-    found = weighed(docs.withColumn("_w", tokens(F.col(text), stop_words)), "_w", factors, "_terms", settings.get("pairs", True))
+    found = weighed(kept, "_w", factors, "_terms", settings.get("pairs", True))
     words = F.array_join(F.transform(best_terms("_terms", top), lambda t: t["term"]), " ")
     return found.withColumn(out, F.concat(F.col(text), F.lit(" "), F.coalesce(words, F.lit("")))).drop("_w", "_terms")
