@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triptych.operators import sampling, tfidf
 from triptych.operators.encode import hashing_encoder
-from triptych.plans import recommend
+from triptych.plans import preparation, recommend
 from triptych.plans.catalogue import (
     DifferentWidths,
     catalogue_lookup,
@@ -17,7 +18,9 @@ from triptych.plans.catalogue import (
     vectors_folder,
     with_item_id,
 )
+from triptych.sources import tables as files
 from triptych.sources.vectors import current_vectors
+from triptych.staging import staged
 
 FILES = {
     "movie": "title,original_title,overview,genres,status,vote_average,vote_count\n"
@@ -97,6 +100,27 @@ def test_tables_do_not_depend_on_files_and_splits(spark, tmp_path, prepared, fil
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_long_texts_are_only_written_for_the_sample(spark, tmp_path, monkeypatch):
+    beginning = "All of these overviews begin alike, "
+    lines = [f'M{i},O{i // 2},"{beginning}\nand go on {"in their own way " * 9}{i}",[],Released,{5 + i % 5},{i * 900}' for i in range(60)]
+    (tmp_path / "movie.csv").write_text("\n".join(["title,original_title,overview,genres,status,vote_average,vote_count", *lines, lines[3], ""]))
+    held = {}
+
+    def counted(df, label):
+        table = staged(df, label)
+        held[label] = table.where(F.concat_ws("|", *[c for c, t in table.dtypes if t == "string"]).contains("in their own way")).count()
+        return table
+
+    for module in (files, preparation, sampling, tfidf):
+        monkeypatch.setattr(module, "staged", counted)
+    prepare_all(spark, {"movie": str(tmp_path / "movie.csv")}, str(tmp_path / "out"), {"movie": 8})
+    rows = spark.read.parquet(f"{tmp_path}/out/movie").collect()
+    assert len(rows) >= 8 and max(held.values()) <= len(rows) and not held["landed"] and not held["movies"]
+    for r in rows:
+        assert r.overview == f"{beginning}\nand go on {'in their own way ' * 9}{r.title[1:]}"
+        assert r.text_representation.startswith(f"{r.title}. {r.overview}. []")
+
+
 def test_vectors_of_all_tables_and_a_recommendation(spark, prepared, tmp_path):
     tables = {kind: spark.read.parquet(f"{prepared[0]}/{kind}") for kind in ("movie", "book", "destination")}
     widths, changes = embed_all(tables, str(tmp_path), hashing_encoder(384), "hashing")

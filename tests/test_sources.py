@@ -142,3 +142,19 @@ def test_staged_tables_are_written_once(spark):
     df = staged(spark.range(10).withColumn("x", F.rand()), "test")
     assert df.collect() == df.collect()
     assert f"{shared_dir(spark)}/triptych-stage/test-" in df.inputFiles()[0]
+
+
+def test_long_texts_are_set_aside_and_put_back(spark):
+    rows = [(1, "a" * 30 + "x", "t"), (2, "a" * 30 + "y", "t"), (3, None, "t"), (4, "", None), (5, "short", "t"), (5, "short", "t"), (None, "é" * 12, "t")]
+    whole = spark.createDataFrame(rows, "id bigint, text string, title string")
+    aside = tables.set_aside(whole, {"text": 10, "absent": 3})
+    assert {r.text for r in aside.collect()} == {"a" * 10, None, "", "short", "é" * 10}
+    back = tables.put_back(staged(aside, "aside"), whole, {"text": 10, "absent": 3})
+    assert back.columns == whole.columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert tables.set_aside(whole, {"absent": 3}) is whole and tables.put_back(whole, whole, {"absent": 3}) is whole
+
+
+def test_texts_that_changed_in_between_are_an_error(spark):
+    first, then = (spark.createDataFrame([(1, text * 9)], "id bigint, text string") for text in ("a", "b"))
+    with pytest.raises(tables.ChangedSource):
+        tables.put_back(staged(tables.set_aside(first, {"text": 2}), "aside"), then, {"text": 2})

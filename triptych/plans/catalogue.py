@@ -14,7 +14,7 @@ from triptych.operators.encode import Encoder
 from triptych.operators.lookup import title_lookup
 from triptych.plans import constants as fixed
 from triptych.plans.preparation import prepare_books, prepare_movies, prepare_music, prepare_places, strata_summary
-from triptych.sources.tables import exists, read_csv, with_source_order, write_table
+from triptych.sources.tables import exists, read_csv, set_aside, with_source_order, write_table
 from triptych.sources.vectors import current_vectors, refresh_search_table, refresh_vectors
 
 PLACE_ENCODING = "ISO-8859-1"
@@ -24,16 +24,22 @@ class DifferentWidths(ValueError):
     """Vectors of different tables, or within one, differ in width."""
 
 
-def raw_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A raw CSV file with the number of each row as `row_id` and, for items, their lasting `item_id`.
+def raw_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A raw CSV file as text columns.
 
     Files without line breaks in fields are split over tasks. Of places only the columns in use are read.
     """
     if kind == "destination":
-        read = read_csv(spark, path, fixed.PLACE_SOURCE, encoding=PLACE_ENCODING, multiline=None)
-    else:
-        read = read_csv(spark, path, multiline=None)
-    return with_item_id(with_source_order(read), kind)
+        return read_csv(spark, path, fixed.PLACE_SOURCE, encoding=PLACE_ENCODING, multiline=None)
+    return read_csv(spark, path, multiline=None)
+
+
+def raw_table(read: DataFrame, kind: str) -> DataFrame:
+    """A raw file with the number of each row as `row_id` and, for items, their lasting `item_id`.
+
+    This is a written table. Long texts are set aside, since only those of a sample are needed.
+    """
+    return with_item_id(with_source_order(set_aside(read, fixed.LONG_TEXTS.get(kind, {}))), kind)
 
 
 def with_item_id(raw: DataFrame, kind: str) -> DataFrame:
@@ -66,12 +72,14 @@ def prepare_all(
     are dealt over files and files are split over tasks. Further settings, such as `stop_words`, are
     those of the emphasis on keywords.
     """
-    found = {kind: path for kind, path in sources.items() if exists(spark, path)}
+    read = {kind: raw_file(spark, path, kind) for kind, path in sources.items() if exists(spark, path)}
     # Tags are only looked up, so their order is not needed.
-    raw = {k: read_csv(spark, p, multiline=None) if k == "tags" else raw_table(spark, p, k) for k, p in found.items()}
+    raw = {kind: df if kind == "tags" else raw_table(df, kind) for kind, df in read.items()}
     jobs: dict[str, Callable[[], DataFrame]] = {}
     if "movie" in raw:
-        jobs["movie"] = lambda: prepare_movies(raw["movie"], rows["movie"], use_tfidf=use_tfidf, **settings)
+        jobs["movie"] = lambda: prepare_movies(
+            raw["movie"], rows["movie"], use_tfidf=use_tfidf, whole=read["movie"], **settings
+        )
     if {"book", "book_tags", "tags"} <= raw.keys():
         jobs["book"] = lambda: prepare_books(
             raw["book"], raw["book_tags"], raw["tags"], rows["book"], use_tfidf=use_tfidf, **settings

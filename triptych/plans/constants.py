@@ -7,6 +7,8 @@ from triptych.operators.sampling import Stratum
 # --- movies -------------------------------------------------------------------------------------
 MOVIE_NUMBERS = ("runtime", "vote_average", "vote_count", "popularity")
 MOVIE_QUANTILE = 0.25
+# An overview has more characters than this.
+MOVIE_OVERVIEW = 20
 MOVIE_STRATA = (
     Stratum("High-Score Classics (40%)", "weighted_rating >= 8.0 and vote_count >= 10000", 0.40),
     Stratum(
@@ -135,6 +137,9 @@ TITLE_COLUMNS = {
     "music": ("track_name", "track_id"),
 }
 
+# Long texts of the raw files, with the characters of each that stay beside the numbers while a sample is drawn.
+LONG_TEXTS = {"movie": {"overview": MOVIE_OVERVIEW + 1}}
+
 # --- sizes of the prepared tables ---------------------------------------------------------------
 TARGET_ROWS = {"movie": 1000, "book": 2000, "music": 2000, "destination": 1000}
 

@@ -27,6 +27,7 @@ from triptych.sources.tables import (
     fill_missing,
     keep_columns,
     lower_names,
+    put_back,
     rename_if_absent,
 )
 from triptych.staging import staged
@@ -49,7 +50,7 @@ def finish(
 def clean_movies(raw: DataFrame) -> DataFrame:
     """Released films with a title and an overview of more than 20 characters, one per original title."""
     df = coerce_numeric(ensure_columns(raw, {"genres": "string"}), fixed.MOVIE_NUMBERS)
-    df = df.where((F.length("title") > 0) & (F.length("overview") > 20))
+    df = df.where((F.length("title") > 0) & (F.length("overview") > fixed.MOVIE_OVERVIEW))
     if "status" in df.columns:
         df = df.where(F.col("status") == "Released")
     if "original_title" in df.columns:
@@ -68,10 +69,14 @@ def prepare_movies(
     rows: int = fixed.TARGET_ROWS["movie"],
     strata: Sequence[Stratum] = fixed.MOVIE_STRATA,
     use_tfidf: bool = True,
+    whole: DataFrame | None = None,
     **settings,
 ) -> DataFrame:
+    """With `whole`, the long texts of `raw` are set aside, and those of the sample are read from there."""
     scored = score_movies(staged(clean_movies(raw), "movies"))
     sampled = filled_sample(scored, rows, strata, "weighted_rating", "row_id")
+    if whole is not None:
+        sampled = put_back(sampled, whole, fixed.LONG_TEXTS["movie"])
     described = sampled.withColumn(
         "_text", text_representation(F.col("title"), F.col("overview"), F.col("genres"))
     )

@@ -10,13 +10,22 @@ from pyspark.sql import types as T
 
 from triptych.functions.cleaning import missing_if_nan, to_number
 from triptych.functions.describing import present
+from triptych.sources.versions import fingerprint
 from triptych.staging import staged
 
 
+# Column by which rows find their long texts again.
+DIGEST = "_digest"
+
+
 class MissingSource(FileNotFoundError):
     """A required input does not exist."""
 
 
+class ChangedSource(RuntimeError):
+    """An input was not the same when it was read again."""
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -185,6 +194,40 @@ def with_source_order(df: DataFrame, name: str = "row_id") -> DataFrame:
     return numbered.select(*[c for c in df.columns if c != name], name)
 
 
+def row_digest(df: DataFrame) -> Column:
+    """Digest of all columns: rows with the same one are copies."""
+    return fingerprint(*[F.col(f"`{name}`") for name in df.columns])
+
+
+def set_aside(df: DataFrame, long: Mapping[str, int]) -> DataFrame:
+    """`df` with only the first characters of its long text columns, so many of each, and a digest of the row.
+
+    For a frame that can be read again, such as one straight from files: what is written, shuffled
+    and sorted on the way to a sample holds no long texts, and those of the sample are put back.
+    """
+    held = {name: n for name, n in long.items() if name in df.columns}
+    if not held:
+        return df
+    return df.withColumns({DIGEST: row_digest(df)} | {name: F.substring(name, 1, n) for name, n in held.items()})
+
+
+def put_back(df: DataFrame, whole: DataFrame, long: Mapping[str, int]) -> DataFrame:
+    """Rows of a written sample with their long texts whole; `whole` is the frame that `set_aside` got.
+
+    It is read once more, and only rows of the sample leave their task. Equal digests are copies of a
+    row, so any one of them has the text. Returns a written table.
+    """
+    held = [name for name in long if name in whole.columns]
+    if not held:
+        return df
+    wanted = df.select(DIGEST).distinct()
+    marked = whole.select(row_digest(whole).alias(DIGEST), *held).join(F.broadcast(wanted), DIGEST, "left_semi")
+    found = staged(marked.groupBy(DIGEST).agg(*[F.first(name).alias(name) for name in held]), "long-texts")
+    if found.count() < wanted.count():
+        raise ChangedSource(", ".join(held))
+    return staged(df.drop(*held).join(found, DIGEST).select(*[c for c in df.columns if c != DIGEST]), "whole")
+
+
 def keep_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The wanted columns that exist, in the wanted order."""
     return df.select(*present(df.columns, wanted))
