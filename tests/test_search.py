@@ -118,6 +118,43 @@ def test_targets_of_one_file_are_searched_by_several_tasks(spark):
     assert hits.groupBy("request_id").count().where("count > 1").count() == 5
 
 
+@pytest.mark.parametrize("dim, k", [(5, 1), (64, 5), (384, 20)])
+def test_whole_numbers_find_the_same_as_single_precision(monkeypatch, dim, k):
+    """Ties, copies, zero rows, rows that are no numbers, targets that are longer or shorter than one."""
+    rng = np.random.default_rng(dim)
+    targets = rng.normal(size=(9000, dim)) * rng.uniform(0.5, 3, (9000, 1))
+    targets[4500:4600], targets[8000:8050], targets[8100:8110], targets[8200] = targets[:100], 0, -targets[0], np.nan
+    targets[8300:8400] = np.sign(targets[8300:8400])
+    vectors = np.concatenate([targets[:150], rng.normal(size=(150, dim)), np.zeros((1, dim))])
+    vectors[:301:7] = np.sign(vectors[:301:7])
+    vectors[:300] /= np.linalg.norm(vectors[:300], axis=1, keepdims=True)
+    found = []
+    for longest_row in (2.0, 0.0):
+        # Rows beyond this length are screened in floating point.
+        monkeypatch.setattr(similarity, "UNIT", longest_row)
+        best = similarity.BestRows(len(vectors), k)
+        for start in range(0, 9000, 3000):
+            best.add(vectors, np.arange(start, start + 3000)[::-1], targets[start : start + 3000][::-1])
+        found.append((best.score, best.item, best.whole is not None))
+    assert found[0][2] and not found[1][2]
+    assert (found[0][0] == found[1][0]).all() and (found[0][1] == found[1][1]).all()
+    scores = np.round(vectors @ np.nan_to_num(targets, nan=-9.0).T, similarity.DIGITS)
+    scores[:, 8200] = -np.inf
+    assert np.allclose(found[0][0], -np.sort(-scores, axis=1)[:, :k], atol=1.1e-6)
+
+
+def test_known_requests_are_screened_several_targets_at_a_time(monkeypatch):
+    """Single precision, at twice the work, is for the first tile only."""
+    calls, candidates = [], similarity.BestRows._candidates
+    monkeypatch.setattr(similarity.BestRows, "_candidates", lambda *given: calls.append(1) or candidates(*given))
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(20_000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    best = similarity.BestRows(200, 5)
+    best.add(rows[:200], np.arange(20_000), rows)
+    assert len(calls) == 1 and (best.item[:, 0] == np.arange(200)).all() and not any(best.vain.values())
+
+
 @pytest.mark.parametrize("settings", STRATEGIES)
 def test_rows_without_a_vector_take_no_part(spark, settings):
     targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,21 @@ from triptych.staging import staged
 DIGITS = 6
 MARGIN = 2 * 10.0**-DIGITS
 # Scores held at once by a task, and the targets among them.
-TILE_CELLS = 1_000_000
+TILE_CELLS = 2_000_000
 TILE_TARGETS = 4096
 # Lengths up to this one are screened in single precision.
 LONGEST = 1e15
 # Of so many cells one candidate at most is scored by itself.
 SPARSE = 64
+# Whole numbers are of use while they are off by less than LOOSE; the coarser ones, which leave more
+# candidates, pay for themselves when MANY times the wanted targets have been seen.
+LOOSE, MANY = 0.12, 8192
+# So many columns of products are looked at together.
+FOLD = 16
+# Requests up to this length count as unit rows.
+UNIT = 1 + 1e-9
+# So many more screenings by whole numbers may have left too much than left little.
+VAIN = 64
 BROADCAST_FLOATS = 8_000_000
 BLOCK_ROWS = 16_384
 HIT = "request_id bigint, item_id bigint, score double"
@@ -173,53 +183,205 @@ def _below_best(scores: np.ndarray, k: int) -> np.ndarray:
     """
     groups = 16 * k
     if scores.shape[1] > 2 * groups:
-        scores = np.maximum.reduceat(scores, np.arange(groups) * scores.shape[1] // groups, axis=1)
-    return np.partition(scores, -k, axis=1)[:, -k]
+        scores = np.fmax.reduceat(scores, np.arange(groups) * scores.shape[1] // groups, axis=1)
+    # What is no number would count as the best.
+    return np.partition(np.fmax(scores, -np.inf), -k, axis=1)[:, -k]
 
 
-def _screening(vectors: np.ndarray, targets: np.ndarray) -> tuple[type, float]:
+def _longest(matrix: np.ndarray) -> float:
+    """The greatest length of a row, without rows that are not numbers."""
+    return float(np.fmax.reduce(_lengths(matrix), initial=0.0))
+
+
+def _lengths(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+
+
+def _screening(dim: int, longest: float, longest_target: float) -> tuple[type, float]:
     """The precision to screen in, and how far its scores may be off at most.
 
     A sum of n products in single precision is off by less than (n + 2) * 2**-24 of the product of
     both lengths; twice that leaves room for the bound itself to be rounded. Rows that are not
     numbers never score, and very long ones are screened in double precision, as they are scored.
     """
-    longest = [float(np.fmax.reduce(np.sqrt((m * m).sum(axis=1)), initial=0.0)) for m in (vectors, targets)]
-    if max(longest) > LONGEST:
+    if max(longest, longest_target) > LONGEST:
         return np.float64, 0.0
-    return np.float32, 2 * (vectors.shape[1] + 4) * 2.0**-24 * longest[0] * longest[1]
+    return np.float32, 2 * (dim + 4) * 2.0**-24 * longest * longest_target
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """How a double holds products of several targets: `bits` wide lanes, for products up to `reach`.
+
+    A lane holds the least product that is wanted less the product, offset so that its top bit is
+    missing where the product is wanted. Beyond `highest` times `reach` all products are wanted;
+    below that by 2 ** bits / 2 a lane overflows and looks wanted too, and adds one to the next lane.
+    """
+
+    count: int
+    bits: int
+    reach: float
+    highest: float
+
+    @property
+    def unit(self) -> float:
+        return float(sum(1 << self.bits * lane for lane in range(self.count)))
+
+    @property
+    def tops(self) -> np.ndarray:
+        return np.array([1 << self.bits * lane + self.bits - 1 for lane in range(self.count)], np.int64)
+
+    def scale(self, dim: int) -> float:
+        """So long may unit rows be made that their products stay within `reach` after rounding."""
+        return np.sqrt(self.reach) - np.sqrt(dim) / 2 - 1
+
+    def slack(self, dim: int) -> float:
+        """By how much scores are off at most, about."""
+        scale = self.scale(dim)
+        return 2 * np.sqrt(dim / 12) / scale if scale > 0 else np.inf
+
+
+# The finer ones are tried where the coarser ones leave too much.
+COARSE, FINE = Lanes(4, 13, 4000, 0.55), Lanes(3, 17, 32_700, 1.0)
+
+
+class WholeRequests:
+    """Unit rows as whole numbers, for products that are exact, with several targets in a double.
+
+    By how much a product is off the score is bounded by what rounding took from both rows and by
+    their lengths.
+    """
+
+    def __init__(self, vectors: np.ndarray, lanes: Lanes):
+        rows, dim = vectors.shape
+        self.lanes, self.scale = lanes, lanes.scale(dim)
+        # The last columns meet the offsets of the targets.
+        self.numbers = np.ones((rows, dim + 2))
+        self.length, self.lost = np.empty(rows), np.empty(rows)
+        for r in range(0, rows, TILE_TARGETS):
+            part = slice(r, r + TILE_TARGETS)
+            scaled = vectors[part] * self.scale
+            whole = self.numbers[part, :dim]
+            np.rint(scaled, out=whole)
+            self.length[part], self.lost[part] = _lengths(whole), _lengths(scaled - whole)
+
+
+class WholeTargets:
+    """A tile of targets as whole numbers; target t is in lane t // width of column t % width.
+
+    What rounding took from a target is given to its lane, times the length of the requests.
+    The constant added puts the last bit of a double at one, and bit 52 is set unless the top lane
+    overflows. Sums of products may pass 2 ** 53 on the way and lose one each time, so the lowest
+    lane takes a little more for wanted.
+    """
+
+    def __init__(self, targets: np.ndarray, longest: float, requests: WholeRequests):
+        (count, dim), lanes = targets.shape, requests.lanes
+        self.count, self.longest, self.lanes, self.scale = count, longest, lanes, requests.scale
+        self.width = -(-count // (lanes.count * FOLD)) * FOLD
+        scaled = targets * (self.scale / longest)
+        whole = np.zeros((lanes.count * self.width, dim))
+        np.rint(scaled, out=whole[:count])
+        lost = np.zeros(len(whole))
+        lost[:count] = np.ceil(_lengths(scaled - whole[:count]) * np.fmax.reduce(requests.length, initial=0.0))
+        self.lost = lost.max()
+        self.numbers = np.empty((self.width, dim + 2))
+        packed = self.numbers[:, :dim]
+        packed[:] = 0
+        for lane in reversed(whole.reshape(lanes.count, self.width, dim)):
+            packed *= 2.0**lanes.bits
+            packed -= lane
+        self.numbers[:, dim] = lanes.unit
+        given = lost.reshape(lanes.count, self.width).T @ 2.0 ** (lanes.bits * np.arange(lanes.count))
+        self.numbers[:, dim + 1] = 2.0**52 + (2.0 ** (lanes.bits - 1) - 1) * lanes.unit - (dim + 2) - given
+
+    def screen(
+        self, requests: WholeRequests, part: slice, floor: np.ndarray, out: np.ndarray, most: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and targets whose scores may reach the floor, and the rows for which lanes cannot tell.
+
+        `FOLD` columns are looked at together first. If that leaves more than `most`, no row is told.
+        """
+        lanes, numbers = requests.lanes, requests.numbers[part]
+        least = np.floor(floor * (self.scale**2 / self.longest) - requests.lost[part] * self.scale) - 2
+        told, highest = least >= self.lost + numbers.shape[1], np.floor(lanes.highest * lanes.reach)
+        none, every = np.empty(0, np.int64), np.arange(len(told))
+        if 2 * np.count_nonzero(told) < len(told):
+            return none, none, every
+        numbers[:, -2] = np.where(told, np.minimum(least, highest), highest)
+        sums = np.matmul(numbers, self.numbers.T, out=out[: len(numbers), : self.width]).view(np.int64)
+        sums = sums.reshape(len(numbers), FOLD, -1)
+        full = int(lanes.tops.sum()) | 1 << 52
+        together = np.bitwise_and.reduce(sums, axis=1)
+        row, place = np.divmod(np.flatnonzero(((together & full) != full) & told[:, None]), together.shape[1])
+        if len(row) > most:
+            return none, none, every
+        held = sums[row, :, place]
+        hit, fold = np.nonzero((held & full) != full)
+        held = held[hit, fold]
+        wanted = ((held[:, None] & lanes.tops) == 0) | ((held & 1 << 52) == 0)[:, None]
+        which, lane = np.nonzero(wanted)
+        hit, fold = hit[which], fold[which]
+        target = lane * self.width + fold * together.shape[1] + place[hit]
+        real = target < self.count
+        return row[hit][real], target[real], np.flatnonzero(~told)
 
 
 class BestRows:
     """The best k targets seen so far by each request of a block, best first."""
 
     def __init__(self, requests: int, k: int):
-        self.k, self.seen = k, 0
+        self.k, self.seen, self.vain = k, 0, {COARSE: 0, FINE: 0}
         self.score = np.full((requests, 0), -np.inf)
         self.item = np.zeros((requests, 0), dtype=np.int64)
+        # The requests last seen, their greatest length, their whole numbers and room for products.
+        self.vectors, self.longest, self.whole, self.out = None, 0.0, None, None
 
     def add(self, vectors: np.ndarray, items: np.ndarray, targets: np.ndarray) -> None:
         """Score all requests against more targets, one tile of bounded size at a time.
 
-        Tiles are screened in single precision, with its largest possible error as slack; what is
-        left is scored in double precision.
+        Where the k best of each request are known, tiles are screened in whole numbers, several
+        targets at once; else in single precision. Both with the largest possible error as slack;
+        what is left is scored in double precision.
         """
         self.seen += len(items)
         self._widen(min(self.k, self.seen))
         requests, k = self.score.shape
         if not k or not len(items):
             return
-        kind, slack = _screening(vectors, targets)
-        coarse, coarse_targets = vectors.astype(kind), targets.astype(kind)
+        if self.vectors is not vectors:
+            self.vectors, self.longest, self.whole = vectors, _longest(vectors), None
+        kind, slack = _screening(vectors.shape[1], self.longest, _longest(targets))
         for t in range(0, len(items), TILE_TARGETS):
             tile, ids = targets[t : t + TILE_TARGETS], items[t : t + TILE_TARGETS]
-            coarse_tile = coarse_targets[t : t + TILE_TARGETS].T
             rows = max(1, TILE_CELLS // len(ids))
-            scores = np.empty((min(rows, requests), len(ids)), dtype=kind)
+            whole_tile = self._whole_tile(tile)
+            coarse_tile = scores = None
+            pending, waiting = [], 0
             for r in range(0, requests, rows):
-                part = coarse[r : r + rows]
-                found = np.matmul(part, coarse_tile, out=scores[: len(part)])
-                self._merge(r, ids, vectors[r : r + rows], tile, found, slack)
+                part = slice(r, min(r + rows, requests))
+                rest = np.arange(r, part.stop)
+                if whole_tile:
+                    row, column, untold = self._reaching(part, whole_tile, rows)
+                    pending.append((r + row, column))
+                    waiting += len(row)
+                    rest = r + untold
+                if len(rest):
+                    if coarse_tile is None:
+                        coarse_tile = tile.astype(kind).T
+                        scores = np.empty((min(rows, requests), len(ids)), dtype=kind)
+                    coarse = np.matmul(vectors[rest].astype(kind), coarse_tile, out=scores[: len(rest)])
+                    row, column = self._candidates(rest, coarse, slack)
+                    if len(row) * SPARSE > coarse.size:
+                        self._merge(rest[row], ids[column], (vectors[rest] @ tile.T)[row, column])
+                    else:
+                        pending.append((rest[row], column))
+                        waiting += len(row)
+                # Few candidates wait for those of other requests.
+                if waiting * SPARSE > TILE_CELLS:
+                    self._score(vectors, ids, tile, pending)
+                    pending, waiting = [], 0
+            self._score(vectors, ids, tile, pending)
 
     def _widen(self, k: int) -> None:
         """Room for k targets; there are never more places than targets seen."""
@@ -228,38 +390,70 @@ class BestRows:
             self.score = np.pad(self.score, ((0, 0), (0, more)), constant_values=-np.inf)
             self.item = np.pad(self.item, ((0, 0), (0, more)))
 
-    def _merge(
-        self, first: int, ids: np.ndarray, vectors: np.ndarray, tile: np.ndarray, coarse: np.ndarray, slack: float
-    ) -> None:
-        """Take over the scores of some requests that are among their best k.
-
-        Candidates are picked on coarse scores with a margin; only they are scored, rounded and sorted.
-        """
+    def _whole_tile(self, tile: np.ndarray) -> WholeTargets | None:
+        """The tile in whole numbers, if that is of use: most requests have their best k, rows are unit rows."""
+        k, longest = self.score.shape[1], _lengths(tile).max()
+        if self.longest > UNIT or not 1 / LONGEST < longest < LONGEST:
+            return None
+        if 2 * np.count_nonzero(self.score[:, -1] > -np.inf) < len(self.score):
+            return None
+        dim = tile.shape[1]
+        lanes = COARSE if self.seen > MANY * k and COARSE.slack(dim) < LOOSE and self.vain[COARSE] <= VAIN else FINE
+        if self.vain[lanes] > VAIN or FINE.slack(dim) >= LOOSE:
+            return None
+        if self.whole is None or self.whole.lanes != lanes:
+            self.whole = WholeRequests(self.vectors, lanes)
+        return WholeTargets(tile, longest, self.whole)
+
+    def _reaching(self, part: slice, tile: WholeTargets, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and targets that may be among the best by whole numbers, and rows for which these do not tell."""
+        floor = self.score[part, -1] - MARGIN
+        if self.out is None or len(self.out) < len(floor) or self.out.shape[1] != tile.width:
+            self.out = np.empty((rows, tile.width))
+        found = tile.screen(self.whole, part, floor, self.out, 4 * self.score.shape[1] * len(floor))
+        vain = 2 * len(found[2]) > len(floor)
+        self.vain[self.whole.lanes] = max(0, self.vain[self.whole.lanes] + (1 if vain else -1))
+        return found
+
+    def _candidates(self, rest: np.ndarray, coarse: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and targets whose coarse scores, with a margin, may be among the best of these requests."""
         k = self.score.shape[1]
-        known = slice(first, first + len(coarse))
-        floor = (self.score[known, -1] - MARGIN - slack).astype(coarse.dtype)
+        floor = (self.score[rest, -1] - MARGIN - slack).astype(coarse.dtype)
         candidate = coarse >= floor[:, None]
         if coarse.shape[1] > k and np.count_nonzero(candidate) > 4 * k * len(coarse):
             candidate &= coarse >= (_below_best(coarse, k) - MARGIN - 2 * slack).astype(coarse.dtype)[:, None]
-        place = np.flatnonzero(candidate)
-        if not len(place):
-            return
-        row, column = np.divmod(place, coarse.shape[1])
-        if len(place) * SPARSE > coarse.size:
-            exact = (vectors @ tile.T).ravel()[place]
-        else:
-            exact = np.einsum("ij,ij->i", vectors[row], tile[column])
-        old_row, old_place = np.nonzero(self.score[known] > -np.inf)
-        all_rows = np.concatenate([old_row, row])
-        all_items = np.concatenate([self.item[known][old_row, old_place], ids[column]])
+        return np.divmod(np.flatnonzero(candidate), coarse.shape[1])
+
+    def _score(
+        self, vectors: np.ndarray, ids: np.ndarray, tile: np.ndarray, pending: list[tuple[np.ndarray, np.ndarray]]
+    ) -> None:
+        """Score candidates one by one and take them over."""
+        if pending:
+            row, column = (np.concatenate(x) for x in zip(*pending))
+            self._merge(row, ids[column], np.einsum("ij,ij->i", vectors[row], tile[column]))
+
+    def _merge(self, row: np.ndarray, items: np.ndarray, exact: np.ndarray) -> None:
+        """Take over the scores of candidates that are among the best k of their requests.
+
+        Only candidates are rounded and sorted, and only requests that have some are touched.
+        """
+        k = self.score.shape[1]
         # Adding zero turns -0.0 into 0.0.
         fresh = np.round(exact, DIGITS) + 0.0
-        all_scores = np.concatenate([self.score[known][old_row, old_place], fresh])
+        last, last_item = self.score[row, -1], self.item[row, -1]
+        better = (fresh > last) | ((fresh == last) & (items < last_item))
+        if not better.any():
+            return
+        touched, own = np.unique(row[better], return_inverse=True)
+        old_row, old_place = np.nonzero(self.score[touched] > -np.inf)
+        all_rows = np.concatenate([old_row, own])
+        all_items = np.concatenate([self.item[touched[old_row], old_place], items[better]])
+        all_scores = np.concatenate([self.score[touched[old_row], old_place], fresh[better]])
         order = np.lexsort((all_items, -all_scores, all_rows))
         all_rows = all_rows[order]
         place = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
         kept = place < k
-        at = (all_rows[kept] + first, place[kept])
+        at = (touched[all_rows[kept]], place[kept])
         self.score[at] = all_scores[order][kept]
         self.item[at] = all_items[order][kept]
 
