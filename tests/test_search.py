@@ -155,6 +155,14 @@ def test_known_requests_are_screened_several_targets_at_a_time(monkeypatch):
     assert len(calls) == 1 and (best.item[:, 0] == np.arange(200)).all() and not any(best.vain.values())
 
 
+def test_copies_of_targets_of_one_file_are_written_by_several_tasks(spark, monkeypatch):
+    given, real = [], similarity.parts_against_blocks
+    monkeypatch.setattr(similarity, "parts_against_blocks", lambda left, right, *more: given.append(right) or real(left, right, *more))
+    asked = vector_frame(spark, np.eye(64, dtype=np.float32)[:5], ("request_id", "vector"))
+    cosine_topk(asked, many_vectors(spark, ("item_id", "embedding")), 1, target_floats=0, request_floats=0)
+    assert tasks_of(given[0]) > 1
+
+
 @pytest.mark.parametrize("settings", STRATEGIES)
 def test_rows_without_a_vector_take_no_part(spark, settings):
     targets = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "item_id bigint, embedding array<double>").coalesce(1)

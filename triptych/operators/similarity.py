@@ -76,7 +76,7 @@ def cosine_topk(
         hits = _targets_in_place(stored, small_requests, dim)
     else:
         held_rows = BROADCAST_FLOATS // dim
-        left, right = packed(asked, "vector", dim), packed(stored, "embedding", dim)
+        left, right = packed(asked, "vector", dim), packed(stored.repartition("item_id"), "embedding", dim)
         hits = parts_against_blocks(left, right, "request_id", _part_search(dim), HIT, block_rows, held_rows)
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "item_id")
     ranked = hits.withColumn("rank", F.row_number().over(best))
