@@ -155,6 +155,22 @@ def test_known_requests_are_screened_several_targets_at_a_time(monkeypatch):
     assert len(calls) == 1 and (best.item[:, 0] == np.arange(200)).all() and not any(best.vain.values())
 
 
+def test_each_part_is_the_work_of_a_task_of_its_own(spark):
+    """Dealt by a hash, some tasks had several parts and others none."""
+    import pyarrow as pa
+
+    from triptych.operators.grid import parts_against_blocks
+
+    def work(rows, blocks):
+        return pa.table({"n": [rows.num_rows], "seen": [sum(block.num_rows for block in blocks)]})
+
+    left, right = spark.range(4000).toDF("a"), spark.range(50).toDF("b")
+    done = parts_against_blocks(left, right, "a", work, "n bigint, seen bigint", 100, 1000)
+    got = done.select("n", "seen", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 40 and len({r.task for r in got}) == 40
+    assert sum(r.n for r in got) == 4000 and {r.seen for r in got} == {50}
+
+
 def test_copies_of_targets_of_one_file_are_written_by_several_tasks(spark, monkeypatch):
     given, real = [], similarity.parts_against_blocks
     monkeypatch.setattr(similarity, "parts_against_blocks", lambda left, right, *more: given.append(right) or real(left, right, *more))

@@ -37,7 +37,7 @@ def parts_against_blocks(
 
     Left rows are moved once, right rows once per part, so shuffles grow with the left rows only
     when these are more than `PARTS` tasks can hold. Left keys are unique, so their hash fills the
-    parts evenly.
+    parts evenly. Right rows should be dealt evenly, as the tasks that read them write all their copies.
     """
     parts = parts_of(left.count(), block_rows, held_rows)
     kinds = {"_left": left.schema, "_right": right.schema}
@@ -47,8 +47,8 @@ def parts_against_blocks(
     rows = left.select(own, F.struct(*left.columns).alias("_left"), none("_right")).unionAll(
         right.select(every, none("_left"), F.struct(*right.columns).alias("_right"))
     )
-    # Parts outnumber cores, so tasks that get several of them and ones that get none even out.
-    dealt = rows.repartition(parts, "_part").sortWithinPartitions("_part", F.col("_right").isNotNull())
+    # One part per task; a hash would give several to some tasks and none to others.
+    dealt = rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", F.col("_right").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in groupby(_pieces(batches, block_rows), key=lambda piece: piece[0]):
