@@ -402,6 +402,8 @@ class BestRows:
         if self.vain[lanes] > VAIN or FINE.slack(dim) >= LOOSE:
             return None
         if self.whole is None or self.whole.lanes != lanes:
+            # The ones before go first, as these are as large as the requests.
+            self.whole = None
             self.whole = WholeRequests(self.vectors, lanes)
         return WholeTargets(tile, longest, self.whole)
 
